@@ -2,11 +2,11 @@
 
 A dictionary per language is cut from a bounded sample of labelled rows; every block of a text is
 compressed with each dictionary, and the language with the fewest compressed bytes over the whole
-text wins. A text whose best and second language lie closer than ``min_margin`` (share of the
-second's bytes) is marked as rejected.
+text wins. A text whose best and second language lie no further apart than ``min_margin`` (share of the
+second's bytes) is marked as rejected, unless it is shorter than ``LEAST`` letters, too few to tell.
 
 Defined cases: null text, or text without a letter, gives ``und``, score 0 and rejected. A tie goes to
-the language first in code-point order. With no labelled row at all every text is ``und``. Rows keep
+the language with more labelled rows, then to the first in code-point order. With no labelled row at all every text is ``und``. Rows keep
 their ids as they are, null and repeated ones included.
 """
 
@@ -26,11 +26,13 @@ from pyspark.sql.window import Window
 from ._common import id_bucket, pick
 
 LETTER = regex.compile(r"\p{L}")
-BLOCK = 4096  # bytes compressed at a time; a dictionary keeps its weight in long texts
-LEVEL = 3
+BLOCK = 16_384  # bytes compressed at a time; a dictionary keeps its weight in long texts
+LEVEL = 5
+LEAST = 64
+_letters = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def fit(docs: DataFrame, per_language: int = 400, dictionary_bytes: int = 98_304, piece_bytes: int = 1024) -> dict[str, bytes]:
+def fit(docs: DataFrame, per_language: int = 400, dictionary_bytes: int = 65_536, piece_bytes: int = 512) -> dict[str, bytes]:
     """Language -> dictionary content, from at most ``per_language`` labelled rows of each language.
 
     The sample is the rows of smallest hashed id; each gives at most ``piece_bytes``. The partial
@@ -46,23 +48,28 @@ def fit(docs: DataFrame, per_language: int = 400, dictionary_bytes: int = 98_304
     for lang, _, _, text in rows:
         body = made.setdefault(lang, bytearray())
         if len(body) < dictionary_bytes:
-            body += text.encode("utf-8", "replace")[: dictionary_bytes - len(body)] + b"\n"
-    return {lang: bytes(body) for lang, body in made.items()}
+            body += plain(text)[: dictionary_bytes - len(body)] + b"\n"
+    share = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
+    return {lang: bytes(made[lang]) for lang in sorted(made, key=lambda x: (-share[x], x))}
+
+
+def plain(text: str) -> bytes:
+    """Lower-cased letters, everything between them as one space: case and markup are no language."""
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_letters).split())
 
 
 class Sizer:
     """Compressed bytes of a text under each dictionary."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.languages = sorted(dictionaries)
+        self.languages = list(dictionaries)  # in order of preference
         self.coders = []
         for lang in self.languages:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=LEVEL)
             self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_checksum=False, write_content_size=False))
 
-    def __call__(self, text: str) -> list[int]:
-        raw = text.encode("utf-8", "replace")
+    def __call__(self, raw: bytes) -> list[int]:
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
         return [sum(len(coder.compress(b)) for b in blocks) for coder in self.coders]
 
@@ -70,11 +77,12 @@ class Sizer:
 def judge(text: str | None, sizer: Sizer, min_margin: float) -> tuple[str, float, bool]:
     if text is None or not sizer.languages or not LETTER.search(text):
         return "und", 0.0, True
-    sizes = sizer(text)
+    raw = plain(text)
+    sizes = sizer(raw)
     best = min(range(len(sizes)), key=sizes.__getitem__)
     rest = [s for i, s in enumerate(sizes) if i != best]
     score = 1 / (1 + sum(math.exp(max(-60.0, (sizes[best] - s) / 4)) for s in rest))
-    narrow = bool(rest) and min(rest) - sizes[best] <= min_margin * min(rest)
+    narrow = bool(rest) and len(raw) >= LEAST and min(rest) - sizes[best] <= min_margin * min(rest)
     return sizer.languages[best], score, narrow
 
 

@@ -172,23 +172,23 @@ def near_links(fingerprints: DataFrame, radius: int, shard_limit: int = 4096) ->
     Edges run from each fingerprint to a smaller one of its batch's component: they span the links
     without listing all pairs of a dense group.
     """
-    wanted = segment_masks(ALL_BITS, radius + 2, 2)
-    masks = {0: wanted}
+    masks = {0: segment_masks(ALL_BITS, radius + 2, 2)}
     rows = fingerprints.select("fp", F.lit(0).cast("long").alias("mask"))
     edges, parts = [], []
     while True:
-        table = [(_signed(m), _signed(m | s)) for m, subs in masks.items() for s in subs]
-        choose = F.lit(None).cast("array<long>")
-        for m, subs in masks.items():
-            choose = F.when(F.col("mask") == _signed(m), F.array(*[F.lit(_signed(m | s)) for s in subs])).otherwise(choose)
-        routed = rows.select("fp", F.explode(choose).alias("mask")).withColumn("val", F.col("fp").bitwiseAND(F.col("mask")))
+        subs = {_signed(m): [_signed(m | x) for x in wider] for m, wider in masks.items()}
+        if len(subs) == 1:
+            choices = rows.select("fp", F.explode(F.array(*map(F.lit, next(iter(subs.values()))))).alias("mask"))
+        else:  # as many rows as there are masks, which depends on the level alone
+            choices = rows.join(F.broadcast(rows.sparkSession.createDataFrame(list(subs.items()), "mask long, wider array<long>")), "mask")
+            choices = choices.select("fp", F.explode("wider").alias("mask")).distinct()
+        routed = choices.withColumn("val", F.col("fp").bitwiseAND(F.col("mask")))
         counts = routed.groupBy("mask", "val").count().where("count > 1")
         counts = stash(counts, "shards")
         near = routed.join(counts, ["mask", "val"])
         shard_ok = F.col("count") <= shard_limit
-        deep = [_m for _m in {b for _, b in table} if 64 - (_m % (1 << 64)).bit_count() <= radius + 8]
-        if deep:  # few free bits: a shard of distinct codes cannot be large
-            shard_ok = shard_ok | F.col("mask").isin(deep)
+        # with few free bits a shard of distinct codes cannot be large
+        shard_ok = shard_ok | (F.bit_count("mask") >= 64 - 12)
         dealt = near.where(shard_ok).withColumn("rank", gray_rank(F.col("fp"))).select("mask", "val", "rank", "fp")
         dealt = dealt.repartition("mask", "val").sortWithinPartitions("mask", "val", "rank")
         found = stash(dealt.mapInPandas(_search(radius, shard_limit), "u long, v long").distinct(), "links")

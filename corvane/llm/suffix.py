@@ -228,8 +228,9 @@ def _resolve(length: int, k: int, batch: int):
                 elif w not in seen:
                     seen.add(w)
                     out.append((None, None, None, None, 2, w))
-        frame = pd.DataFrame(out, columns=["did", "mark", "a", "b", "n", "w"])
-        return frame.astype({c: "Int64" for c in ("did", "mark", "a", "b")})
+        columns = list(zip(*out)) if out else [()] * 6
+        kinds = ["Int64"] * 5 + ["object"]  # a null among floats would round the hashes
+        return pd.DataFrame({c: pd.Series(list(v), dtype=k) for c, v, k in zip(("did", "mark", "a", "b", "n", "w"), columns, kinds)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
