@@ -7,8 +7,9 @@ The others meet by anchor: there, suffixes from the anchor on are mergesorted, e
 the common extension by binary search over prefix polynomial hashes; stepping left, each column is
 re-sorted stably by one byte, which keeps the suffix order, and neighbours with equal prefix-hash
 differences are candidates. Candidate pairs are verified byte by byte around the anchor. A shard of
-too many different surroundings is split into blocks, and what stays unmatched in its block is
-compared between blocks through 128-bit hashes of the strings.
+too many different surroundings is dealt again: strings are parted by where they begin relative to the
+anchor, and the bytes that all strings of a part have in common become its key, so rows that cannot
+share one of these strings separate; identical surroundings settle each other on the way.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing. Rows that repeat doc_id and
 text each count as an occurrence and get the same answer. doc_id may be null. The kept bytes need not
@@ -200,37 +201,20 @@ class Shard:
         return np.stack((order[:-1][same], order[1:][same]))
 
 
-RESULT = "did long, mark long, a long, b long, n int, w binary"
+RESULT = "did long, mark long, a long, b long"
 
 
 def _resolve(length: int, k: int, batch: int):
     left = length - k
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        group = np.cumsum(np.r_[True, (rows["akey"].to_numpy()[1:] != rows["akey"].to_numpy()[:-1]) | (rows["salt"].to_numpy()[1:] != rows["salt"].to_numpy()[:-1])])
-        held = list(zip(rows["s"].tolist(), rows["lo"].tolist(), rows["hi"].tolist(), rows["body"].tolist()))
-        shard = Shard(held, length, k)
-        twice = shard.repeated(group)
-        did, mark, s = rows["did"].tolist(), rows["mark"].tolist(), rows["s"].tolist()
-        edge = np.diff(np.pad(twice.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        out = []
+        key = rows["akey"].to_numpy()
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+        shard = Shard(list(zip(rows["s"].tolist(), rows["lo"].tolist(), rows["hi"].tolist(), rows["body"].tolist())), length, k)
+        edge = np.diff(np.pad(shard.repeated(group).astype(np.int8), ((0, 0), (1, 1))), axis=1)
         (i, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-        for r, x, y in zip(i.tolist(), a.tolist(), b.tolist()):
-            out.append((did[r], mark[r], s[r] - left + x, s[r] - left + y - 1 + length, 2, None))
-        split = np.flatnonzero(rows["blocks"].to_numpy() > 1)
-        seen: set[bytes] = set()
-        for r in split.tolist():
-            _, lo, hi, body = held[r]
-            for p in range(lo, hi + 1):
-                w = xxhash.xxh3_128_digest(body[p - lo : p - lo + length])
-                if not twice[r, p - s[r] + left]:
-                    out.append((did[r], mark[r], p, p + length, 1, w))
-                elif w not in seen:
-                    seen.add(w)
-                    out.append((None, None, None, None, 2, w))
-        columns = list(zip(*out)) if out else [()] * 6
-        kinds = ["Int64"] * 5 + ["object"]  # a null among floats would round the hashes
-        return pd.DataFrame({c: pd.Series(list(v), dtype=k) for c, v, k in zip(("did", "mark", "a", "b", "n", "w"), columns, kinds)})
+        start = rows["s"].to_numpy()[i] - left
+        return pd.DataFrame({"did": rows["did"].to_numpy()[i], "mark": rows["mark"].to_numpy()[i], "a": start + a, "b": start + b - 1 + length})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -240,8 +224,8 @@ def _resolve(length: int, k: int, batch: int):
                 if sum(map(len, held)) < batch:
                     continue
                 rows = pd.concat(held, ignore_index=True)
-                key, salt = rows["akey"].to_numpy(), rows["salt"].to_numpy()
-                last = int(np.flatnonzero((key != key[-1]) | (salt != salt[-1])).max(initial=-1)) + 1
+                key = rows["akey"].to_numpy()
+                last = int(np.flatnonzero(key != key[-1]).max(initial=-1)) + 1
                 held = [rows.iloc[last:]]
                 if last:
                     yield solve(rows.iloc[:last])
@@ -253,13 +237,13 @@ def _resolve(length: int, k: int, batch: int):
 
 def _bodies(length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["did", "mark", "s", "lo", "hi", "akey", "salt", "blocks", "body"]
+        columns = ["did", "mark", "s", "lo", "hi", "akey", "hot", "body"]
         for frame in frames:
             rows: list[tuple] = []
             for did, mark, text, held in frame.itertuples(index=False):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for x in held:
-                    rows.append((did, mark, x["s"], x["lo"], x["hi"], x["akey"], x["salt"], x["blocks"], raw[x["lo"] : x["hi"] + length]))
+                    rows.append((did, mark, x["s"], x["lo"], x["hi"], x["akey"], x["hot"], raw[x["lo"] : x["hi"] + length]))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -299,42 +283,78 @@ def _cut(text, spans):
     return of(text, spans)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, k: int = 64, block: int = 1024) -> DataFrame:
+PARTS = 4  # parts of the string starts of a crowded shard
+
+
+def _settle(rows: DataFrame, body_hash, shard_limit: int) -> DataFrame:
+    """``rows`` with n (rows of the same key and surroundings), stands (the first of them) and open (null for a key
+    without further comparisons, else whether it is crowded)."""
+    me = F.xxhash64("did", "mark", "s", "lo")
+    keyed = rows.withColumn("ctx", body_hash)
+    kinds = keyed.groupBy("akey", "ctx").agg(F.count("*").alias("n"), F.min(me).alias("first"))
+    per = kinds.groupBy("akey").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    further = per.where("kinds > 1 and least = 1").select("akey", (F.col("kinds") > shard_limit).alias("hot"))
+    joined = keyed.join(kinds.join(further, "akey", "left"), ["akey", "ctx"])
+    return joined.withColumn("stands", me == F.col("first")).drop("first", "ctx")
+
+
+def _parted(rows: DataFrame, length: int) -> DataFrame:
+    """Rows of crowded shards, whose strings begin at s + ra to s + rb, dealt by part and the part's common bytes."""
+    step = F.ceil((F.col("rb") - F.col("ra") + 1) / F.lit(PARTS)).cast("int")
+    cells = []
+    for i in range(PARTS):
+        a = F.col("ra") + i * step
+        b = F.least(a + step - 1, F.col("rb"))
+        first, last = F.greatest("lo", F.col("s") + a), F.least("hi", F.col("s") + b)
+        body = F.substring("body", first - F.col("lo") + 1, last - first + length)
+        core = F.substring("body", F.col("s") + b - F.col("lo") + 1, F.lit(length) + a - b)
+        cell = F.struct(first.alias("lo"), last.alias("hi"), F.xxhash64("akey", a, core).alias("akey"), body.alias("body"), a.alias("ra"), b.alias("rb"))
+        cells.append(F.when((a <= F.col("rb")) & (first <= last), cell))
+    parts = rows.select("did", "mark", "s", F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+    return parts.select("did", "mark", "s", "c.*")
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, k: int = 64, shard_limit: int = 2048) -> DataFrame:
     """did, mark, a, b: byte spans covered by repeated strings, of each document (may overlap)."""
     found = stash(docs.mapInPandas(_anchor_rows(length, k), "did long, mark long, s int, lo int, hi int, akey long, ctx long"), "anchors")
     often = found.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
     shared = stash(found.join(often, "akey", "left_semi"), "shared")
-    me = F.xxhash64("did", "mark", "s")
-    kinds = shared.groupBy("akey", "ctx").agg(F.count("*").alias("n"), F.min(me).alias("first"))
-    kinds = stash(kinds, "kinds")
-    per = kinds.groupBy("akey").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    open_keys = per.where("kinds > 1 and least = 1").select("akey", F.ceil(F.col("kinds") / block).cast("int").alias("blocks"))
-    joined = shared.join(kinds.join(open_keys, "akey", "left"), ["akey", "ctx"])
-    joined = stash(joined.select("did", "mark", "s", "lo", "hi", "akey", "ctx", "n", "blocks", (me == F.col("first")).alias("stands")), "joined")
-    for old in (found, shared, kinds):
-        drop_stash(old)
-    covered = joined.where("n > 1").select("did", "mark", F.col("lo").cast("long").alias("a"), (F.col("hi") + length).cast("long").alias("b"))
-    rest = joined.where("blocks is not null and stands")
-    salt = F.pmod(F.xxhash64("ctx"), F.col("blocks")).cast("int").alias("salt")
-    lists = rest.groupBy("did", "mark").agg(F.collect_list(F.struct("s", "lo", "hi", "akey", salt, "blocks")).alias("held"))
-    texts = docs.join(lists, (docs["mark"] == lists["mark"]) & (docs["did"] == lists["did"]))
-    texts = texts.select(docs["did"], docs["mark"], "text", "held")
-    bodies = texts.mapInPandas(_bodies(length), "did long, mark long, s int, lo int, hi int, akey long, salt int, blocks int, body binary")
-    dealt = bodies.repartition("akey", "salt").sortWithinPartitions("akey", "salt")
-    solved = stash(dealt.mapInPandas(_resolve(length, k, 2048), RESULT), "solved")
-    inside = solved.where("w is null").select("did", "mark", "a", "b")
-    lone = solved.where("w is not null and n = 1")
-    again = solved.where("w is not null").groupBy("w").agg(F.sum("n").alias("all")).where("all > 1").select("w")
-    across = lone.join(again, "w", "left_semi").select("did", "mark", "a", "b")
-    return covered.unionByName(inside).unionByName(across)
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64, block: int = 1024) -> DataFrame:
+    drop_stash(found)
+    settled = stash(_settle(shared, F.col("ctx"), shard_limit), "settled")
+    drop_stash(shared)
+
+    def covered(rows: DataFrame) -> DataFrame:
+        return rows.where("n > 1").select("did", "mark", F.col("lo").cast("long").alias("a"), (F.col("hi") + length).cast("long").alias("b"))
+
+    spans = [covered(settled)]
+    rest = settled.where("hot is not null and stands")
+    lists = rest.groupBy("did", "mark").agg(F.collect_list(F.struct("s", "lo", "hi", "akey", "hot")).alias("held"))
+    texts = docs.join(lists, (docs["mark"] == lists["mark"]) & (docs["did"] == lists["did"])).select(docs["did"], docs["mark"], "text", "held")
+    bodies = stash(texts.mapInPandas(_bodies(length), "did long, mark long, s int, lo int, hi int, akey long, hot boolean, body binary"), "bodies")
+
+    def solved(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("did", "mark", "s", "lo", "hi", "akey", "body").repartition("akey").sortWithinPartitions("akey")
+        return stash(dealt.mapInPandas(_resolve(length, k, 2048), RESULT), "solved")
+
+    spans.append(solved(bodies.where("not hot")))
+    crowded = bodies.where("hot").withColumns({"ra": F.lit(k - length), "rb": F.lit(0)})
+    # each round cuts the range of string starts by PARTS; at one start, different surroundings are different strings
+    while crowded.limit(1).count():
+        settled = stash(_settle(_parted(crowded, length), F.xxhash64("body"), shard_limit), "parts")
+        spans += [covered(settled), solved(settled.where("stands and not hot and ra < rb"))]
+        crowded = settled.where("stands and hot and ra < rb")
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64, shard_limit: int = 2048) -> DataFrame:
     """doc_id, kept (bytes), n_bytes, n_removed, n_spans."""
     rows = pick(docs, "doc_id", "text")
     rows = rows.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("mark"), "text")
     fit = rows.where(f"octet_length(text) >= {length}").withColumn("did", F.coalesce("did", F.lit(-(1 << 63))))
-    spans = repeated_spans(fit, length, k, block)
+    spans = repeated_spans(fit, length, k, shard_limit)
     lists = spans.groupBy("did", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     keyed = rows.withColumn("key", F.coalesce("did", F.lit(-(1 << 63))))
     joined = keyed.join(lists, (keyed["key"] == lists["did"]) & (keyed["mark"] == lists["mark"]), "left")

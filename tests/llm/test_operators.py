@@ -229,8 +229,8 @@ def test_line_dedup_against_brute_force(spark, docs):
     assert out.where("text is null").count() == docs.where("text is null").count()
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_suffix_removal_against_brute_force(spark, docs, block):
+@pytest.mark.parametrize("shard_limit", [2048, 3])
+def test_suffix_removal_against_brute_force(spark, docs, shard_limit):
     length = 40
     rows = corpus()
     seen = Counter()
@@ -246,7 +246,7 @@ def test_suffix_removal_against_brute_force(spark, docs, block):
                 gone[i : i + length] = True
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         want[r[0], len(raw), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()] += 1
-    found = suffix.remove_repeats(docs, length=length, k=12, block=block)
+    found = suffix.remove_repeats(docs, length=length, k=12, shard_limit=shard_limit)
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found.collect())
     assert got == want
 
