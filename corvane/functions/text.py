@@ -35,7 +35,7 @@ def mixed_tokens(text: Column) -> Column:
     lowered = F.lower(F.coalesce(text, F.lit("")))
     ascii_words = F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), 0)
     runs = F.regexp_extract_all(lowered, F.lit("[一-龥]+"), 0)
-    return F.array_distinct(F.concat(ascii_words, F.flatten(F.transform(runs, char_ngrams))))
+    return F.array_distinct(F.concat(ascii_words, F.flatten(F.transform(runs, lambda r: char_ngrams(r)))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
