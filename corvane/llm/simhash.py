@@ -32,11 +32,11 @@ SMALL = 32  # shards up to this size are one leaf
 ALL_BITS = (1 << 64) - 1
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Signed 64-bit SimHash over shingles of ``words`` words."""
+def fingerprints(text: str | None, words: int, variants: int = 1) -> list[int]:
+    """Signed 64-bit SimHashes over shingles of ``words`` words: of their XXH64, then of that mixed anew."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return [0] * variants
     joined = b" ".join(parts)
     if len(parts) <= words:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
@@ -45,16 +45,26 @@ def fingerprint(text: str | None, words: int) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_bits = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(set_bits, bitorder="little").view("<i8")[0])
-
-
-def fingerprint_column(text: Column, words: int) -> Column:
-    @pandas_udf("long")
+    own = np.array(hashes, "<u8")
+    out = []
+    for k in range(variants):
+        h = own
+        if k:  # finaliser of a 64-bit mixing generator
+            h = own + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_bits = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
+        out.append(int(np.packbits(set_bits, bitorder="little").view("<i8")[0]))
+    return out
+
+
+def fingerprint_column(text: Column, words: int, variants: int = 1) -> Column:
+    @pandas_udf("array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([fingerprint(t, words) for t in batch], dtype="int64")
+            yield pd.Series([fingerprints(t, words, variants) for t in batch], dtype="object")
 
     return of(text)
 
@@ -84,19 +94,31 @@ def _nodes(ands: np.ndarray, ors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_and.reduceat(ands, starts), np.bitwise_or.reduceat(ors, starts)
 
 
-def index_pairs(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i < j) of Gray-sorted ``codes`` at most ``radius`` bits apart, by descending node pairs."""
+def index_pairs(codes: np.ndarray, radius: int, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i < j) of Gray-sorted ``codes`` at most ``radius`` bits apart, by descending node pairs.
+
+    With ``root`` (components known so far) node pairs that lie in one component are dropped: what is left
+    completes the links.
+    """
     levels = [(codes, codes)]
+    roots = [(root, root)] if root is not None else []
     while len(levels[-1][0]) > FAN:
         levels.append(_nodes(*levels[-1]))
+        if roots:
+            at = np.arange(0, len(roots[-1][0]), FAN)
+            roots.append((np.minimum.reduceat(roots[-1][0], at), np.maximum.reduceat(roots[-1][1], at)))
     left, right = np.triu_indices(len(levels[-1][0]))
     done = np.zeros(len(left), np.uint64)  # shared bits counted so far
     gone = np.zeros(len(left), np.int64)  # differences accumulated on them
     for depth in range(len(levels) - 1, -1, -1):
         ands, ors = levels[depth]
         kept: list[tuple] = []
-        for part in range(0, max(len(left), 1), 1 << 18):
-            i, j, seen, diff = (x[part : part + (1 << 18)] for x in (left, right, done, gone))
+        for part in range(0, max(len(left), 1), 1 << 17):
+            i, j, seen, diff = (x[part : part + (1 << 17)] for x in (left, right, done, gone))
+            if roots:
+                low, high = roots[depth]
+                apart = (low[i] != high[i]) | (low[j] != high[j]) | (low[i] != low[j])
+                i, j, seen, diff = i[apart], j[apart], seen[apart], diff[apart]
             shared = ~(ands[i] ^ ors[i]) & ~(ands[j] ^ ors[j])
             diff = diff + np.bitwise_count((ands[i] ^ ands[j]) & shared & ~seen)
             near = diff <= radius
@@ -117,6 +139,18 @@ def index_pairs(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     return left, right
 
 
+def index_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the links of Gray-sorted ``codes``: neighbours in that order first, the index for the rest."""
+    n = len(codes)
+    i = np.concatenate([np.arange(n - shift) for shift in range(1, min(FAN, n))])
+    j = i + np.repeat(np.arange(1, min(FAN, n)), [n - shift for shift in range(1, min(FAN, n))])
+    near = np.bitwise_count(codes[i] ^ codes[j]) <= radius
+    root = components(n, i[near], j[near])
+    a, b = index_pairs(codes, radius, root)
+    moved = np.flatnonzero(root != np.arange(n))
+    return np.concatenate((root[moved], a)), np.concatenate((moved, b))
+
+
 def _shard_links(groups: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked positions within runs of equal ``groups``; each run is Gray-sorted."""
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
@@ -128,7 +162,7 @@ def _shard_links(groups: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np
         i = i[np.bitwise_count(codes[i] ^ codes[i + shift]) <= radius]
         found.append((i, i + shift))
     for at, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        i, j = index_pairs(codes[at : at + size], radius)
+        i, j = index_links(codes[at : at + size], radius)
         found.append((i + at, j + at))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -152,7 +186,7 @@ def _search(radius: int, shard_limit: int):
 
         for frame in frames:
             held.append(frame)
-            if sum(map(len, held)) < 4 * shard_limit:
+            if sum(map(len, held)) < 1 << 16:
                 continue
             rows = pd.concat(held)
             mask, val = rows["mask"].to_numpy(), rows["val"].to_numpy()
@@ -166,7 +200,7 @@ def _search(radius: int, shard_limit: int):
     return run
 
 
-def near_links(fingerprints: DataFrame, radius: int, shard_limit: int = 4096) -> DataFrame:
+def near_links(fingerprints: DataFrame, radius: int, shard_limit: int = 16_384) -> DataFrame:
     """Edges (u, v) that connect every two of the distinct ``fp`` at most ``radius`` bits apart.
 
     Edges run from each fingerprint to a smaller one of its batch's component: they span the links
@@ -235,16 +269,29 @@ def star_components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, shard_limit: int = 4096) -> DataFrame:
-    """One row per document: doc_id, fp (signed 64-bit fingerprint), component_id (smallest doc_id reachable)."""
-    marked = stash(pick(docs, "doc_id", "text").select("doc_id", fingerprint_column(F.col("text"), words).alias("fp")), "fp")
-    codes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    stars = star_components(near_links(codes.select("fp"), radius, shard_limit))
-    rooted = codes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, variants: int = 1, shard_limit: int = 16_384) -> DataFrame:
+    """One row per document: doc_id, fp (signed 64-bit fingerprint), component_id (smallest doc_id reachable).
+
+    With several ``variants``, documents link if one of as many independent fingerprints is near.
+    """
+    prints = fingerprint_column(F.col("text"), words, variants)
+    marked = pick(docs, "doc_id", "text").select("doc_id", prints.alias("p")).select("doc_id", *[F.col("p")[k].alias(f"fp{k}") for k in range(variants)])
+    marked = stash(marked, "fp")
+    codes = marked.groupBy("fp0").agg(F.min("doc_id").alias("first_id"))
+    edges = near_links(codes.select(F.col("fp0").alias("fp")), radius, shard_limit)
+    for k in range(1, variants):  # the same over another fingerprint, told in terms of the first
+        named = marked.select("fp0", F.col(f"fp{k}").alias("fp")).distinct()
+        first = stash(named.groupBy("fp").agg(F.min("fp0").alias("r")), "names")
+        alike = named.join(first, "fp").where("fp0 != r").select(F.col("fp0").alias("u"), F.col("r").alias("v"))
+        found = near_links(first.select("fp"), radius, shard_limit)
+        found = found.join(first.select(F.col("fp").alias("u"), F.col("r").alias("ru")), "u").join(first.select(F.col("fp").alias("v"), F.col("r").alias("rv")), "v")
+        edges = edges.unionByName(alike).unionByName(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+    stars = star_components(edges)
+    rooted = codes.join(stars.select(F.col("u").alias("fp0"), F.col("v").alias("root")), "fp0", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "fp0"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = rooted.join(smallest, "root").select("fp0", "component_id")
+    return marked.join(classes, "fp0").select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -252,7 +299,12 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stands for its group; rows without an id stay."""
-    others = near_duplicates(docs, words, radius).where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, variants: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose doc_id stands for its group; rows without an id stay.
+
+    Texts that share 0.8 of their shingles differ in about nine bits of 64, so a radius of eight under
+    three independent fingerprints links most of them, and hardly any that share less than 0.7.
+    """
+    found = near_duplicates(docs, words, radius, variants)
+    others = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

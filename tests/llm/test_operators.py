@@ -88,6 +88,24 @@ def test_simhash_routing_of_crowded_shards(spark):
     assert len(a) == len(pairs) and len(set(zip(a.tolist(), b.tolist()))) == len(pairs)
 
 
+def test_simhash_dense_shards_are_spanned_without_all_pairs():
+    rng = np.random.default_rng(4)
+    flips = [int(rng.integers(0, 64)) for _ in range(9000)]
+    codes = np.unique(np.array([(1 << int(a)) ^ (1 << b) ^ (1 << int(c)) for a, b, c in zip(rng.integers(0, 64, 9000), flips, rng.integers(0, 20, 9000))], np.uint64))
+    far = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    codes = np.concatenate((codes, far))
+    gray = codes.copy()
+    for step in (1, 2, 4, 8, 16, 32):
+        gray ^= gray >> np.uint64(step)
+    codes = codes[gray.argsort()]
+    a, b = simhash.index_links(codes, 4)
+    got = simhash.components(len(codes), a, b)
+    i, j = np.triu_indices(len(codes), 1)
+    near = np.bitwise_count(codes[i] ^ codes[j]) <= 4
+    assert np.array_equal(got, simhash.components(len(codes), i[near], j[near]))
+    assert len(a) < near.sum() / 10
+
+
 def components_of(nodes, pairs):
     group = {n: {n} for n in nodes}
     for a, b in pairs:
