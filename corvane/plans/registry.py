@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, corpus, retrieval
+from . import analytics, corpus, flows, retrieval
 
-PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS}
+PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS, **flows.PLANS}
 
 
 def queries() -> dict:
