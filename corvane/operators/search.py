@@ -44,11 +44,11 @@ def bm25_scores(queries: DataFrame, posts: DataFrame, lengths: DataFrame, k1: fl
 
 
 def bm25_top_k(queries: DataFrame, posts: DataFrame, lengths: DataFrame, k: int, id_col: str = "chunk_id", **kw) -> DataFrame:
-    """(qid, id, rank, score, bm25): score is the share of the query's best raw score."""
+    """(qid, id, rank, score, bm25): score is the share of the query's best raw score; bm25 keeps six places."""
     scored = bm25_scores(queries, posts, lengths, id_col=id_col, **kw).where("raw > 0")
     top = ranked(scored, k, F.desc("raw"), id_col)
     best = F.max("raw").over(Window.partitionBy("qid"))
-    return top.select("qid", id_col, "rank", F.round(F.col("raw") / best, 4).alias("score"), F.round("raw", 4).alias("bm25"))
+    return top.select("qid", id_col, "rank", F.round(F.col("raw") / best, 4).alias("score"), F.col("raw").alias("bm25"))
 
 
 def without_documents(posts: DataFrame, lengths: DataFrame, removed: DataFrame, id_col: str = "chunk_id") -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ st AS (SELECT count(*) AS n, avg(dl) AS a FROM lens),
 dfs AS (SELECT token, count(*) AS df FROM p GROUP BY token),
 raws AS (SELECT qid, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / a))), 6) AS raw
          FROM q JOIN p USING (token) JOIN dfs USING (token) JOIN lens USING (doc_id), st GROUP BY ALL),
-bm AS (SELECT qid, chunk_id, rank, round(raw / max(raw) OVER (PARTITION BY qid), 4) AS score, round(raw, 4) AS bm25
+bm AS (SELECT qid, chunk_id, rank, round(raw / max(raw) OVER (PARTITION BY qid), 4) AS score, raw AS bm25
        FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, chunk_id) AS rank FROM raws WHERE raw > 0) WHERE rank <= 20)"""
 
 OVERLAP = f"""

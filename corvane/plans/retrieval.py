@@ -190,7 +190,7 @@ PLANS = {
         lambda s, d: search.bm25_top_k(
             questions(s, d), *search.without_documents(search.postings(chunks(s, d)), search.doc_lengths(chunks(s, d)), chunks(s, d).where("kb = 'src0'").select("chunk_id")), 5
         ),
-        f"WITH {BM25.replace('FROM documents', chr(70) + 'ROM (SELECT * FROM documents WHERE source != ' + chr(39) + 'src0' + chr(39) + ')')} SELECT qid, chunk_id, rank, score, bm25 FROM (SELECT qid, chunk_id, rank, round(raw / max(raw) OVER (PARTITION BY qid), 4) AS score, round(raw, 4) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, chunk_id) AS rank FROM raws WHERE raw > 0)) WHERE rank <= 5",
+        f"WITH {BM25.replace('FROM documents', chr(70) + 'ROM (SELECT * FROM documents WHERE source != ' + chr(39) + 'src0' + chr(39) + ')')} SELECT qid, chunk_id, rank, score, bm25 FROM (SELECT qid, chunk_id, rank, round(raw / max(raw) OVER (PARTITION BY qid), 4) AS score, raw AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, chunk_id) AS rank FROM raws WHERE raw > 0)) WHERE rank <= 5",
     ),
     "vector_topk": (vector, f"WITH {VECTOR} SELECT qid, chunk_id, rank, score FROM vk"),
     "vector_topk_filtered": (
