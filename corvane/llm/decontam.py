@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +23,27 @@ from pyspark.sql.functions import pandas_udf
 
 from ._common import pick
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# bytes of words stay (A-Z as a-z), all others become blanks
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+WORD = re.compile(rb"[^ ]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(_lower)) if text else []
+def word_bytes(text: str) -> bytes:
+    """As long as the text's UTF-8, words apart by blanks."""
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return word_bytes(text).split() if text else []
 
 
 class Automaton:
     """Suffix automaton of several word sequences; for matches of ``window`` words it knows the items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], window: int):
+    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
         self.window = window
-        self.vocab: dict[str, int] = {}
+        self.least = min([window, *(len(words) for _, words in items)])
+        self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: list[set[int]] = [set()]
@@ -82,24 +91,28 @@ class Automaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else split(p, q)
         return cur
 
-    def hits(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Word spans [a, b) covered by windows, and the items whose windows occur."""
-        nexts, link, length, short, window = self.next, self.link, self.length, self.short, self.window
-        state = matched = 0
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Word spans [a, b) covered by windows, and the items whose windows occur.
+
+        A match lies within a run of known words, so only runs that could hold one are streamed.
+        """
+        ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], ids >= 0, [False]))))
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
-        for at, w in enumerate(map(self.vocab.get, words)):
-            if w is None:
-                state = matched = 0
-                continue
+        for start, end in edges.reshape(-1, 2)[edges[1::2] - edges[::2] >= self.least].tolist():
+            self._stream(start, ids[start:end].tolist(), spans, items)
+        return spans, items
+
+    def _stream(self, start: int, ids: list[int], spans: list[tuple[int, int]], items: set[int]) -> None:
+        nexts, link, length, short, window = self.next, self.link, self.length, self.short, self.window
+        state = matched = 0
+        for at, w in enumerate(ids, start):
             out = nexts[state].get(w)
-            while out is None and state:
+            while out is None:  # every known word leaves the root
                 state = link[state]
                 matched = length[state]
                 out = nexts[state].get(w)
-            if out is None:
-                matched = 0
-                continue
             state = out
             matched += 1
             if matched >= window:
@@ -113,7 +126,6 @@ class Automaton:
                     if n <= matched:
                         items.add(item)
                         spans.append((at + 1 - n, at + 1))
-        return spans, items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -140,7 +152,7 @@ def automata(benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_00
     return [Automaton(s, window) for s in shards]
 
 
-def find(text: str | None, machines: list[Automaton]) -> tuple[list[str], list[tuple[int, int]], set]:
+def find(text: str | None, machines: list[Automaton]) -> tuple[list[bytes], list[tuple[int, int]], set]:
     words = words_of(text)
     spans: list[tuple[int, int]] = []
     items: set = set()
@@ -180,12 +192,13 @@ def cut_text(text: str | None, machines: list[Automaton], max_coverage: float) -
         return text
     if sum(b - a for a, b in spans) > max_coverage * len(words):
         return None
-    places = [m.span() for m in WORD.finditer(text.translate(_lower))]
+    raw = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in WORD.finditer(word_bytes(text))]
     kept, at = [], 0
     for a, b in spans:
-        kept.append(text[at : places[a][0]])
+        kept.append(raw[at : places[a][0]])
         at = places[b - 1][1]
-    return "".join((*kept, text[at:]))
+    return b"".join((*kept, raw[at:])).decode("utf-8", "surrogatepass")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5) -> DataFrame:
