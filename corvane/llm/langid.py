@@ -27,7 +27,7 @@ from ._common import id_bucket, pick
 
 LETTER = regex.compile(r"\p{L}")
 BLOCK = 16_384  # bytes compressed at a time; a dictionary keeps its weight in long texts
-LEVEL = 5
+LEVEL = 9  # lower levels leave most of a small dictionary unused
 LEAST = 64
 _letters = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 

@@ -243,9 +243,28 @@ def near_links(fingerprints: DataFrame, radius: int, shard_limit: int = 16_384)
     return out.distinct()
 
 
-def star_components(edges: DataFrame) -> DataFrame:
-    """(u, v): v is the smallest node reachable from u. Alternating large and small stars; each round ends in a written table."""
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges of one piece to edges that lead every node to the smallest of its component there."""
+    held = [f for f in frames if len(f)]
+    if held:
+        rows = pd.concat(held)
+        ids, places = np.unique(np.concatenate((rows["u"].to_numpy(), rows["v"].to_numpy())), return_inverse=True)
+        root = components(len(ids), places[: len(rows)], places[len(rows) :])
+        moved = root != np.arange(len(ids))
+        yield pd.DataFrame({"u": ids[moved], "v": ids[root[moved]]})
+
+
+def star_components(edges: DataFrame, piece: int = 100_000) -> DataFrame:
+    """(u, v): v is the smallest node reachable from u.
+
+    Pieces of ``piece`` edges are first contracted by themselves, which leaves an edge per node and
+    piece at most; then large and small stars alternate. Each round ends in a written table.
+    """
     edges = stash(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    contracted = edges.repartition(max(1, -(-edges.count() // piece))).mapInPandas(_contract, "u long, v long")
+    fresh = stash(contracted.distinct(), "edges")
+    drop_stash(edges)
+    edges = fresh
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.select(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
