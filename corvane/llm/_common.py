@@ -63,6 +63,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch: texts are long, and both sides hold a batch in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def id_bucket(column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
-from ._common import id_bucket, pick
+from ._common import id_bucket, pick, small_batches
 
 LETTER = regex.compile(r"\p{L}")
 BLOCK = 16_384  # bytes compressed at a time; a dictionary keeps its weight in long texts
@@ -88,6 +88,7 @@ def judge(text: str | None, sizer: Sizer, min_margin: float) -> tuple[str, float
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.0) -> DataFrame:
     """``docs`` columns doc_id, text with lang_pred, score (0 to 1) and rejected."""
+    small_batches(docs.sparkSession)
 
     @pandas_udf("lang_pred string, score double, rejected boolean")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -112,6 +113,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_margin: float = 0.0) -> DataFrame:
     """The rows whose language is recognised; ``docs`` columns are left as they are."""
+    small_batches(docs.sparkSession)
     dictionaries = fit(pick(docs, "doc_id", "text", "lang"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import stash
+from ._common import small_batches, stash
 
 SPACE = b" \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
@@ -66,6 +66,7 @@ def _strip(min_chars: int):
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, max_documents: int = 1) -> DataFrame:
     """``docs`` with kept (text), n_lines and n_dropped."""
+    small_batches(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     did, mark = F.coalesce(F.col("doc_id"), F.lit(LAST)), F.xxhash64("text")
     keys = docs.select(did.alias("did"), mark.alias("mark"), "text").mapInPandas(_keys(min_chars), "k binary, did long, mark long")

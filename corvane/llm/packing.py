@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import pick, stash
+from ._common import pick, small_batches, stash
 
 _encoders: dict[str, object] = {}
 
@@ -73,6 +73,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out if with_ids else out.drop(columns="ids")
 
+    small_batches(docs.sparkSession)
     extra = ", ids array<int>" if with_ids else ""
     # ids as text: a null among long ids would turn a whole batch into floats
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")

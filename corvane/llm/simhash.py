@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import components, drop_stash, pick, stash
+from ._common import components, drop_stash, pick, small_batches, stash
 
 FAN = 16  # members of a leaf, and leaves of an upper node
 SMALL = 32  # shards up to this size are one leaf
@@ -293,6 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, variants:
 
     With several ``variants``, documents link if one of as many independent fingerprints is near.
     """
+    small_batches(docs.sparkSession)
     prints = fingerprint_column(F.col("text"), words, variants)
     marked = pick(docs, "doc_id", "text").select("doc_id", prints.alias("p")).select("doc_id", *[F.col("p")[k].alias(f"fp{k}") for k in range(variants)])
     marked = stash(marked, "fp")

@@ -15,7 +15,7 @@ from corvane.llm import langid, packing, simhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-POOLS = {"aa": [f"ka{x}lo" for x in "abcdefghijklmnopqrst"], "bb": [f"mi{x}né" for x in "abcdefghijklmnopqrst"]}
+POOLS = {"aa": [f"{x}ka{y}lo" for x in "abcdefghij" for y in "klmnopqrst"], "bb": [f"{x}mi{y}né" for x in "abcdefghij" for y in "klmnopqrst"]}
 
 
 def prose(rng, lang, n):
@@ -39,6 +39,11 @@ def folder(spark, tmp_path_factory):
     rows.append([72, items[1][1], "bb", "s", 0])
     rows.append([73, rows[4][1].split("\n")[0] + "\n" + prose(rng, "aa", 30), "aa", None, None])
     rows += [[74, None, "aa", "s", 0], [75, "12 34", "aa", "s", 0], [76, "", None, None, 0], [None, prose(rng, "aa", 30), "aa", "s", 0], [77, prose(rng, "aa", 5000), "aa", "s", 0]]
+    for i in range(80, 84):  # one long line each, and the same with a word changed
+        words = prose(rng, "aa", 300).split(" ")
+        rows.append([i, " ".join(words), "aa", "s", 0])
+        words[150] = "other"
+        rows.append([i + 10, " ".join(words), "aa", "s", 0])
     at = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame([tuple(r) for r in rows], SCHEMA).repartition(3).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
