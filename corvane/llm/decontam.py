@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import pick
+from ._common import pick, small_batches
 
 # bytes of words stay (A-Z as a-z), all others become blanks
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -165,6 +165,7 @@ def find(text: str | None, machines: list[Automaton]) -> tuple[list[bytes], list
 
 def scan(docs: DataFrame, machines: list[Automaton]) -> DataFrame:
     """``docs`` with n_words, n_hit and item_ids (as strings, sorted)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machines)  # bounded by shard_words each
 
     @pandas_udf("n_words long, n_hit long, item_ids array<string>")
@@ -203,6 +204,7 @@ def cut_text(text: str | None, machines: list[Automaton], max_coverage: float) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without the benchmark's passages; a document mostly made of them goes, null texts stay."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automata(benchmark))
 
     @pandas_udf("string")
@@ -211,10 +213,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5) -> D
             yield pd.Series([cut_text(t, shared.value, max_coverage) for t in batch], dtype="object")
 
     names = docs.columns
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], cleaned(F.col("text")).alias("_cleaned"))
-    marked = marked.where("text is null or _cleaned is not null")
-    fresh = {"text": F.col("_cleaned"), "n_chars": F.length("_cleaned").cast("long")}
-    return marked.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in names])
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), cleaned(F.col("text")).alias("cleaned"))
+    marked = marked.where("row.text is null or cleaned is not null")
+    fresh = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return marked.select(*[fresh[c].alias(c) if c in fresh else F.col(f"row.`{c}`") for c in names])
 
 
 DIGEST_SQL = r"""
