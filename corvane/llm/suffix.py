@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import drop_stash, pick, stash
+from ._common import drop_stash, pick, small_batches, stash
 
 CHUNK = 1 << 20  # windows handled at a time
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -351,6 +351,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, k: int = 64, shard_limit:
 
 def remove_repeats(docs: DataFrame, length: int = 400, k: int = 64, shard_limit: int = 2048) -> DataFrame:
     """doc_id, kept (bytes), n_bytes, n_removed, n_spans."""
+    small_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text")
     rows = rows.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("mark"), "text")
     fit = rows.where(f"octet_length(text) >= {length}").withColumn("did", F.coalesce("did", F.lit(-(1 << 63))))
