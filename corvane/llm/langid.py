@@ -29,6 +29,7 @@ LETTER = regex.compile(r"\p{L}")
 BLOCK = 16_384  # bytes compressed at a time; a dictionary keeps its weight in long texts
 LEVEL = 9  # lower levels leave most of a small dictionary unused
 LEAST = 64
+MARGIN = 0.05  # between what unlearned languages reach and what held-out rows of learned ones keep; see README
 _letters = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -86,7 +87,7 @@ def judge(text: str | None, sizer: Sizer, min_margin: float) -> tuple[str, float
     return sizer.languages[best], score, narrow
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.0) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MARGIN) -> DataFrame:
     """``docs`` columns doc_id, text with lang_pred, score (0 to 1) and rejected."""
     small_batches(docs.sparkSession)
 
@@ -111,7 +112,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def keep_identified(docs: DataFrame, min_margin: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, min_margin: float = MARGIN) -> DataFrame:
     """The rows whose language is recognised; ``docs`` columns are left as they are."""
     small_batches(docs.sparkSession)
     dictionaries = fit(pick(docs, "doc_id", "text", "lang"))
