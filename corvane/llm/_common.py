@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -15,10 +15,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only in local mode, where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="corvane-")
@@ -63,11 +65,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows in an Arrow batch: texts are long, and both sides hold a batch in memory."""
+def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
+    """Bound an Arrow batch by rows and by bytes: texts are long, and both sides hold a batch in memory.
+
+    Spark reads both settings when a plan runs, so they stay set in the session; smaller ones are left alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
+    if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    if not (held.rstrip("b").isdigit() and int(held.rstrip("b")) <= mb << 20):
+        spark.conf.set(key, f"{mb << 20}b")
 
 
 def id_bucket(column: str, parts: int):
@@ -80,9 +89,25 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def tasks_for(df: DataFrame) -> int:
-    """Shuffle partitions of the session: the cluster's choice, not ours."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def with_columns(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """``docs`` with columns added; an input column of the same name gives way to the new one."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {m.lower() for m in made}]
+    return docs.select(*kept, *[column.alias(name) for name, column in made.items()])
+
+
+def split_hot(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, by: list[str], parts: int = 1000, salts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (one row a key; ``n`` tells how many ``rows`` the key has), hot keys salted.
+
+    A key is hot if it has over 1/``parts`` of all rows, so there are fewer than ``parts`` of them, whatever
+    the input: that proven bound makes them fit a broadcast. Their rows are spread over ``salts`` values by the
+    hash of ``by`` and their one fact is repeated for each.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    hot = facts.where(F.col(n) > max(total // parts, 10_000))
+    listed = F.broadcast(hot.select(*keys, F.lit(salts).alias("_salts")))
+    spread = rows.join(listed, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*by), F.col("_salts")).cast("int")).otherwise(0)).drop("_salts")
+    copies = F.when(F.col(n) > max(total // parts, 10_000), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return spread.join(facts.withColumn("_salt", F.explode(copies)), [*keys, "_salt"]).drop("_salt")
 
 
 def components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

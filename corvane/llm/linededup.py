@@ -6,7 +6,8 @@ in the smallest doc_id that holds them.
 
 Defined cases: null or empty text is one empty line. A null doc_id counts as one document that comes
 after all others. Rows that repeat doc_id and text are one document and get the same answer; rows that
-repeat a doc_id with another text are judged on their own lines. Columns of the input stay as they are.
+repeat a doc_id with another text are judged on their own lines. A very long text is one row, held whole by one task. Other columns of the input
+stay as they are; ``dedup_lines`` overwrites input columns called like its results.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import small_batches, stash
+from ._common import small_batches, split_hot, stash
 
 SPACE = b" \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
@@ -65,22 +66,25 @@ def _strip(min_chars: int):
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, max_documents: int = 1) -> DataFrame:
-    """``docs`` with kept (text), n_lines and n_dropped."""
+    """``docs`` with kept (text), n_lines and n_dropped; input columns of these names give way."""
     small_batches(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     did, mark = F.coalesce(F.col("doc_id"), F.lit(LAST)), F.xxhash64("text")
     keys = docs.select(did.alias("did"), mark.alias("mark"), "text").mapInPandas(_keys(min_chars), "k binary, did long, mark long")
     keys = stash(keys, "lines")
+    counts = [F.min("did").alias("first"), F.count("*").alias("n")]
     if max_documents == 1:  # two ids differ exactly if the smallest and the largest do: no distinct count
-        seen = keys.groupBy("k").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
+        seen = keys.groupBy("k").agg(*counts, F.max("did").alias("last")).where("first < last")
     else:
-        seen = keys.groupBy("k").agg(F.min("did").alias("first"), F.count_distinct("did").alias("n")).where(F.col("n") > max_documents)
-    gone = keys.join(seen.select("k", "first"), "k").where("did > first")
-    gone = gone.groupBy("did", "mark").agg(F.collect_set("k").alias("_drop"))
-    inner = docs.select(F.struct(*columns).alias("row"), "text", did.alias("did"), mark.alias("mark"))
-    joined = inner.join(gone, ["did", "mark"], "left")
-    out = joined.select("row", _strip(min_chars)(F.col("text"), F.col("_drop")).alias("line"))
-    return out.select("row.*", "line.*")
+        seen = keys.groupBy("k").agg(*counts, F.count_distinct("did").alias("m")).where(F.col("m") > max_documents)
+    seen = stash(seen.select("k", "first", "n"), "repeated")
+    gone = split_hot(keys, seen, ["k"], "n", by=["did", "mark"]).where("did > first")
+    gone = gone.groupBy("did", "mark").agg(F.collect_set("k").alias("gone"))
+    inner = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("body"), did.alias("did"), mark.alias("mark"))
+    joined = inner.join(gone, ["did", "mark"], "left").select("row", _strip(min_chars)(F.col("body"), F.col("gone")).alias("line"))
+    made = ("kept", "n_lines", "n_dropped")
+    names = [c for c in docs.columns if c.lower() not in made]
+    return joined.select(*[F.col(f"row.`{c}`") for c in names], *[F.col(f"line.{c}") for c in made])
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -91,10 +95,11 @@ def digest(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines cut out of text; null texts stay null, n_chars follows the text, no row goes."""
     names = docs.columns
-    found = dedup_lines(docs)
+    held = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("input"))
+    found = dedup_lines(held)
     text = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col("kept"))
     fresh = {"text": text, "n_chars": F.length(text).cast("long")}
-    return found.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in names])
+    return found.select(*[(fresh[c] if c in fresh else F.col(f"input.`{c}`")).alias(c) for c in names])
 
 
 DIGEST_SQL = r"""
