@@ -6,8 +6,8 @@ text wins. A text whose best and second language lie no further apart than ``min
 second's bytes) is marked as rejected, unless it is shorter than ``LEAST`` letters, too few to tell.
 
 Defined cases: null text, or text without a letter, gives ``und``, score 0 and rejected. A tie goes to
-the language with more labelled rows, then to the first in code-point order. With no labelled row at all every text is ``und``. Rows keep
-their ids as they are, null and repeated ones included.
+the language with more labelled rows, then to the first in code-point order. With no labelled row at all every text is ``und``.
+A very long text is compressed whole, block by block. Rows keep their ids as they are, null and repeated ones included.
 """
 
 from __future__ import annotations
@@ -33,23 +33,27 @@ MARGIN = 0.05  # between what unlearned languages reach and what held-out rows o
 _letters = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def fit(docs: DataFrame, per_language: int = 400, dictionary_bytes: int = 65_536, piece_bytes: int = 512) -> dict[str, bytes]:
+def fit(docs: DataFrame, per_language: int = 400, piece_chars: int = 320, dictionary_bytes: int = 131_072) -> dict[str, bytes]:
     """Language -> dictionary content, from at most ``per_language`` labelled rows of each language.
 
-    The sample is the rows of smallest hashed id; each gives at most ``piece_bytes``. The partial
-    limit of the ranking keeps a language that holds most rows from meeting in one task.
+    The sample is the rows of smallest hashed id (of a repeated id the first piece, null ids have no part); each gives one piece of ``piece_chars`` characters, from a
+    place anywhere in its text that its id hashes to. Pieces fill the dictionary in the order of the hash, and
+    400 of them fit it at two bytes a character. The partial limit of the ranking keeps a language that
+    holds most rows from meeting in one task.
     """
     labelled = pick(docs, "doc_id", "lang", "text").where("lang is not null and text is not null and length(text) > 0")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    chosen = labelled.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi")
-    chosen = chosen.select("lang", "doc_id", F.substring("text", 1, piece_bytes).alias("text"))
-    rows = sorted((r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in chosen.collect())
+    ids = labelled.where("doc_id is not null").select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    chosen = labelled.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi")
+    start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - piece_chars + 1)) + 1
+    chosen = chosen.select("lang", "doc_id", F.substring("text", start, F.lit(piece_chars)).alias("piece"))
+    chosen = chosen.groupBy("lang", "doc_id").agg(F.min("piece").alias("piece"), F.xxhash64("doc_id").alias("h"))
+    rows = sorted((r["lang"], r["h"], r["piece"]) for r in chosen.collect())  # per_language pieces of each at most
     made: dict[str, bytearray] = {}
-    for lang, _, _, text in rows:
+    for lang, _, piece in rows:
         body = made.setdefault(lang, bytearray())
         if len(body) < dictionary_bytes:
-            body += plain(text)[: dictionary_bytes - len(body)] + b"\n"
+            body += plain(piece)[: dictionary_bytes - len(body)] + b"\n"
     share = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
     return {lang: bytes(made[lang]) for lang in sorted(made, key=lambda x: (-share[x], x))}
 
@@ -88,7 +92,7 @@ def judge(text: str | None, sizer: Sizer, min_margin: float) -> tuple[str, float
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MARGIN) -> DataFrame:
-    """``docs`` columns doc_id, text with lang_pred, score (0 to 1) and rejected."""
+    """``docs`` with lang_pred, score (0 to 1) and rejected; input columns of these names give way."""
     small_batches(docs.sparkSession)
 
     @pandas_udf("lang_pred string, score double, rejected boolean")
@@ -97,7 +101,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         for batch in texts:
             yield pd.DataFrame([judge(t, sizer, min_margin) for t in batch], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_judged", of(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_judged.*")
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), of(F.col("text")).alias("judged"))
+    return held.select(*[F.col(f"row.`{c}`") for c in names], "judged.*")
 
 
 def held_out_column():
