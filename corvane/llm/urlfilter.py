@@ -5,12 +5,15 @@ personalised PageRank spreads trust from hosts in proportion to their allowed pa
 distrust from hosts in proportion to their blocked pages against the links; a host whose distrust
 exceeds its trust by more than ``threshold`` is blocked. Links within a host carry no weight.
 
-Masses are whole numbers (``UNIT`` in all) and shares are rounded down, so results do not depend on the
-order of sums. A dangling host keeps its mass to itself no longer than a step: it is lost, as is usual
-for host graphs with leaves.
+Masses are whole numbers, ``UNIT`` a seed page however many pages there are, so results do not depend on
+the order of sums and a small host's mass not on the size of the table. A share that would round to
+nothing is one: what is linked from a seed keeps a positive mass. Trust and distrust are compared as shares of
+all seeds, by multiplying across. A dangling host keeps its mass to itself no longer than a step: it is lost,
+as is usual for host graphs with leaves. Without a link between hosts no step is taken.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and is allowed.
-Null html has no links. Repeated rows count as often as they come. An empty table gives an empty result.
+Null html has no links. Very long html is searched whole for links. Repeated rows count as often as they come; extra columns
+take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ RULES = [
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 ]
-UNIT = 1_000_000_000
+UNIT = 1_000_000_000_000  # times 10**12 pages, links and damping stays within 38 digits
 KEEP, OF = 85, 100  # damping
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,6 +62,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def quotient(above: str, below: str) -> Column:
+    """Whole quotient of decimals without rounding, at least one."""
+    a, b = f"cast({above} as decimal(38,0))", f"cast({below} as decimal(38,0))"
+    return F.expr(f"greatest(cast(1 as decimal(38,0)), cast(({a} - {a} % {b}) / {b} as decimal(38,0)))")
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
     """host, mass: personalised PageRank from ``seeds`` (host, seed) along ``edges`` (src, dst, weight).
 
@@ -70,11 +79,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
     held = None
     if weighted.limit(1).count():
         for step in range(steps):
-            sent = weighted.join(mass, weighted["src"] == mass["host"]).select(
-                F.col("dst").alias("host"), F.expr(f"cast(mass as decimal(20,0)) * {KEEP} * weight div (total * {OF})").alias("part")
-            )
-            own = seeds.select("host", F.expr(f"seed * {OF - KEEP} div {OF}").alias("part"))
-            mass = own.unionByName(sent).groupBy("host").agg(F.sum("part").alias("mass"))
+            sent = weighted.join(mass, weighted["src"] == mass["host"]).select(F.col("dst").alias("host"), quotient(f"mass * {KEEP} * weight", f"total * {OF}").alias("part"))
+            own = seeds.select("host", quotient(f"seed * {OF - KEEP}", f"{OF}").alias("part"))
+            mass = own.unionByName(sent).groupBy("host").agg(F.sum("part").cast("decimal(38,0)").alias("mass"))
             if step % 2:
                 mass = stash(mass, "mass")
                 if held is not None:
@@ -84,27 +91,33 @@ def propagate(seeds: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
 
 
 def seeds_of(hosts: DataFrame, column: str) -> DataFrame:
-    """host, seed: each host's share of the rows counted in ``column``."""
-    total = hosts.agg(F.sum(column)).first()[0] or 1
-    named = hosts.where(F.col(column) > 0)
-    return named.select("host", F.expr(f"cast({column} as decimal(20,0)) * {UNIT} div {total}").alias("seed"))
+    """host, seed: ``UNIT`` for each of the host's rows counted in ``column``."""
+    return hosts.where(F.col(column) > 0).select("host", F.expr(f"cast({column} * cast({UNIT} as decimal(20,0)) as decimal(38,0))").alias("seed"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, steps: int = 8, threshold: int = 0) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust (of the host, of UNIT)."""
+    """page_id, host, path, rule, verdict, trust, distrust (of the host, of ``UNIT`` a seed page).
+
+    ``threshold`` is in millionths of all seeds.
+    """
     url = F.col("url")
     rows = pick(pages, "page_id", "url", "html").withColumns({"host": host_of(url), "path": path_of(url)})
     rows = rows.withColumn("_fit", matched_rule(F.col("host"), F.col("path"), rules))
     judged = F.when(F.col("_fit.verdict") == "allow", 1), F.when(F.col("_fit.verdict") == "block", 1)
     named = rows.where("host != ''")
     hosts = stash(named.groupBy("host").agg(F.count(judged[0]).alias("good"), F.count(judged[1]).alias("bad")), "hosts")
+    good, bad = (max(1, x or 0) for x in hosts.agg(F.sum("good"), F.sum("bad")).first())
     edges = stash(host_edges(named), "edges")
     trust = propagate(seeds_of(hosts, "good"), edges, steps).withColumnRenamed("mass", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = propagate(seeds_of(hosts, "bad"), back, steps).withColumnRenamed("mass", "distrust")
-    scored = trust.join(distrust, "host", "full").select("host", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("trust", "distrust")])
-    out = rows.join(scored, "host", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("trust", "distrust")})
-    by_host = F.when(F.col("distrust") > F.col("trust") + threshold, "block").otherwise("allow")
+    none = F.lit(0).cast("decimal(38,0)")
+    scored = trust.join(distrust, "host", "full").select("host", *[F.coalesce(c, none).alias(c) for c in ("trust", "distrust")])
+    # distrust / bad > trust / good + threshold, in whole numbers
+    above = F.expr(f"cast(distrust as decimal(38,0)) * {good} > cast(trust as decimal(38,0)) * {bad} + cast({threshold} as decimal(20,0)) * {UNIT // 1_000_000} * {good} * {bad}")
+    scored = scored.withColumn("_above", above)
+    out = rows.join(scored, "host", "left").withColumns({c: F.coalesce(c, none) for c in ("trust", "distrust")})
+    by_host = F.when(F.col("_above"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(F.col("_fit.verdict"), by_host).alias("verdict"), "trust", "distrust")
 
 
@@ -125,8 +138,8 @@ def digest_sql(steps: int = 8) -> str:
         for k in range(steps):
             parts.append(
                 f"{name}{k + 1} AS (SELECT host, sum(part) AS mass FROM ("
-                f"SELECT host, seed * {OF - KEEP} // {OF} AS part FROM {seeds} UNION ALL "
-                f"SELECT dst, mass * {KEEP} * weight // (total * {OF}) FROM {name}w JOIN {name}{k} ON src = host) GROUP BY host)"
+                f"SELECT host, greatest(1, seed * {OF - KEEP} // {OF}) AS part FROM {seeds} UNION ALL "
+                f"SELECT dst, greatest(1, mass * {KEEP} * weight // (total * {OF})) FROM {name}w JOIN {name}{k} ON src = host) GROUP BY host)"
             )
         parts.append(f"{name} AS (SELECT * FROM {name}{steps} WHERE EXISTS (SELECT 1 FROM edges) UNION ALL SELECT * FROM {name}0 WHERE NOT EXISTS (SELECT 1 FROM edges))")
         return ",\n".join(parts)
@@ -140,11 +153,11 @@ WITH parsed AS (
 ), hosts AS (SELECT host, count(*) FILTER (WHERE fixed = 'allow') AS good, count(*) FILTER (WHERE fixed = 'block') AS bad FROM judged WHERE host != '' GROUP BY host
 ), linked AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{UPPER}', '{LOWER}') AS dst FROM judged WHERE host != ''
 ), edges AS (SELECT src, dst, count(*) AS weight FROM linked WHERE dst != '' AND src != dst GROUP BY src, dst
-), good_seeds AS (SELECT host, CAST(good * {UNIT} // (SELECT sum(good) FROM hosts) AS HUGEINT) AS seed FROM hosts WHERE good > 0
-), bad_seeds AS (SELECT host, CAST(bad * {UNIT} // (SELECT sum(bad) FROM hosts) AS HUGEINT) AS seed FROM hosts WHERE bad > 0
+), good_seeds AS (SELECT host, CAST(good AS HUGEINT) * {UNIT} AS seed FROM hosts WHERE good > 0
+), bad_seeds AS (SELECT host, CAST(bad AS HUGEINT) * {UNIT} AS seed FROM hosts WHERE bad > 0
 ), {walk("good", "good_seeds", "src", "dst")},
 {walk("bad", "bad_seeds", "dst", "src")}
 SELECT j.page_id, j.host, j.path, j.rule,
-       coalesce(fixed, CASE WHEN coalesce(bad.mass, 0) > coalesce(good.mass, 0) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(fixed, CASE WHEN coalesce(bad.mass, 0) * greatest(1, (SELECT sum(good) FROM hosts)) > coalesce(good.mass, 0) * greatest(1, (SELECT sum(bad) FROM hosts)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN good ON j.host = good.host LEFT JOIN bad ON j.host = bad.host
 """
