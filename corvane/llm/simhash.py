@@ -10,7 +10,8 @@ grows with the input: after enough levels so few bits are free that a shard can
 
 Defined cases: a null or word-less text has fingerprint zero and links like any other. Repeated rows
 keep their own output rows. A row whose doc_id is null takes part with its fingerprint, and its
-component is the smallest id known for it, or null. An empty table gives an empty result.
+component is the smallest id known for it, or null. A very long text is hashed whole, by one task.
+Extra columns take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import components, drop_stash, pick, small_batches, stash
+from ._common import components, drop_stash, pick, small_batches, split_hot, stash
 
 FAN = 16  # members of a leaf, and leaves of an upper node
 SMALL = 32  # shards up to this size are one leaf
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, variants:
     prints = fingerprint_column(F.col("text"), words, variants)
     marked = pick(docs, "doc_id", "text").select("doc_id", prints.alias("p")).select("doc_id", *[F.col("p")[k].alias(f"fp{k}") for k in range(variants)])
     marked = stash(marked, "fp")
-    codes = marked.groupBy("fp0").agg(F.min("doc_id").alias("first_id"))
+    codes = marked.groupBy("fp0").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     edges = near_links(codes.select(F.col("fp0").alias("fp")), radius, shard_limit)
     for k in range(1, variants):  # the same over another fingerprint, told in terms of the first
         named = marked.select("fp0", F.col(f"fp{k}").alias("fp")).distinct()
@@ -310,9 +311,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, variants:
     stars = star_components(edges)
     rooted = codes.join(stars.select(F.col("u").alias("fp0"), F.col("v").alias("root")), "fp0", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp0"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp0", "component_id")
-    return marked.join(classes, "fp0").select("doc_id", F.col("fp0").alias("fp"), "component_id")
+    classes = _with_smallest(stash(rooted.select("fp0", "first_id", "n", "root"), "rooted"), ["fp0"])
+    return split_hot(marked, stash(classes, "classes"), ["fp0"], "n", by=["doc_id"]).select("doc_id", F.col("fp0").alias("fp"), "component_id")
+
+
+def _with_smallest(rooted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, component_id: the smallest first_id of each root; a root of many classes is split."""
+    smallest = stash(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "smallest")
+    return split_hot(rooted, smallest, ["root"], "members", by=keys).select(*keys, "n", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -321,7 +327,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 BANDS, ROWS = 20, 8  # candidates: texts that share 0.8 of their shingles agree in a band with a chance of 0.975
-BLOCK = 1024  # members of a candidate group compared in one task
+BLOCK = 1024  # members of a candidate group compared at a time
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -382,19 +388,40 @@ def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]
     return found
 
 
+def cross_links(sets: list[np.ndarray], labels: list[int], asked: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges between the ``asked`` members and members of another label that join labels; joined labels meet once."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    names, label = np.unique(np.array(labels), return_inverse=True)
+    found: list[tuple[int, int]] = []
+    for at in asked.tolist():
+        others = np.flatnonzero((label != label[at]) & (sizes >= least * sizes[at] - 1e-9) & (sizes[at] >= least * sizes - 1e-9) & (sizes > 0))
+        if not sizes[at] or not len(others):
+            continue
+        both = np.concatenate([sets[k] for k in others])
+        place = np.minimum(np.searchsorted(sets[at], both), sizes[at] - 1)
+        shared = np.add.reduceat((sets[at][place] == both).astype(np.int64), np.r_[0, np.cumsum(sizes[others])[:-1]])
+        hits = others[shared >= least * (sizes[at] + sizes[others] - shared) - 1e-9]
+        for k in hits.tolist():
+            if label[k] != label[at]:
+                found.append((at, k))
+                label[label == label[k]] = label[at]
+    return found
+
+
 def _verify(words: int, least: float):
+    """Links within each group (root, a, b): of all members (role 0), or of those asked (1) with the others (2)."""
+    keys = ["root", "a", "b"]
+
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        sets: dict[int, np.ndarray] = {}
         u: list[int] = []
         v: list[int] = []
-        for _, group in rows.groupby(["root", "a", "b"], sort=False):
-            ids = group["sig"].to_numpy()
-            for sig, text in zip(ids.tolist(), group["text"]):
-                if sig not in sets:
-                    sets[sig] = shingle_set(text, words)
-            for i, j in similar_links([sets[x] for x in ids.tolist()], least):
-                u.append(ids[i])
-                v.append(ids[j])
+        for _, group in rows.groupby(keys, sort=False):
+            ids = group["sig"].tolist()
+            sets = [shingle_set(text, words) for text in group["text"]]
+            role = group["role"].to_numpy()
+            pairs = cross_links(sets, group["label"].tolist(), np.flatnonzero(role == 1), least) if role.any() else similar_links(sets, least)
+            u += [ids[i] for i, _ in pairs]
+            v += [ids[j] for _, j in pairs]
         return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -403,12 +430,12 @@ def _verify(words: int, least: float):
             if not len(frame):
                 continue
             held.append(frame)
-            keys = frame[["root", "a", "b"]].to_numpy()
-            if len(held) > 1 and (held[0][["root", "a", "b"]].to_numpy()[0] == keys[-1]).all():
+            at = frame[keys].to_numpy()
+            if len(held) > 1 and (held[0][keys].to_numpy()[0] == at[-1]).all():
                 continue  # one group so far
             rows = pd.concat(held)
-            keys = rows[["root", "a", "b"]].to_numpy()
-            last = int(np.flatnonzero((keys != keys[-1]).any(axis=1)).max(initial=-1)) + 1
+            at = rows[keys].to_numpy()
+            last = int(np.flatnonzero((at != at[-1]).any(axis=1)).max(initial=-1)) + 1
             held = [rows.iloc[last:]]
             if last:
                 yield links(rows.iloc[:last])
@@ -418,12 +445,76 @@ def _verify(words: int, least: float):
     return run
 
 
+def _grouped(rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Verified edges of the groups (root, a, b) of rows that also have sig, label, role and text."""
+    dealt = rows.select("root", "a", "b", "sig", "label", "role", "text").repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+    return stash(dealt.mapInPandas(_verify(words, least), "u long, v long"), "verified")
+
+
+def candidate_links(marked: DataFrame, radius: int, variants: int) -> DataFrame:
+    """Edges (u, v) of shingle sets: a near fingerprint of one of the variants, or an equal band of minimum hashes."""
+    edges = []
+    for k in range(variants):
+        named = marked.select("sig", F.col(f"fp{k}").alias("fp")).distinct()
+        first = stash(named.groupBy("fp").agg(F.min("sig").alias("r"), F.max("sig").alias("top")), "names")
+        alike = named.join(first.where("r != top"), "fp").where("sig != r").select(F.col("sig").alias("u"), F.col("r").alias("v"))
+        found = near_links(first.select("fp"), radius)
+        found = found.join(first.select(F.col("fp").alias("u"), F.col("r").alias("ru")), "u").join(first.select(F.col("fp").alias("v"), F.col("r").alias("rv")), "v")
+        edges += [alike, found.select(F.col("ru").alias("u"), F.col("rv").alias("v"))]
+    banded = stash(marked.select("sig", F.explode("bands").alias("band")).distinct(), "bands")
+    first = banded.groupBy("band").agg(F.min("sig").alias("r"), F.max("sig").alias("top"), F.count("*").alias("n")).where("r != top")
+    first = stash(first, "bandheads")
+    edges.append(split_hot(banded, first, ["band"], "n", by=["sig"]).where("sig != r").select(F.col("sig").alias("u"), F.col("r").alias("v")))
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def verified_links(members: DataFrame, words: int, least: float) -> DataFrame:
+    """Edges that span all links of at least ``least`` within each root of ``members`` (sig, root, text).
+
+    Groups over ``BLOCK`` members first link within blocks, then the blocks' classes link through one
+    member each. What is still apart in such a group is compared whole: the members outside its largest
+    class, in blocks, with all others. A group of near copies, however large, so costs about one pass.
+    """
+    block = BLOCK
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"), F.count("*").alias("n"))
+    members = stash(split_hot(members, stash(sizes, "sizes"), ["root"], "n", by=["sig"]).select("sig", "root", "blocks", "text"), "members")
+    none, own = F.lit(0).cast("long"), F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    alone = {"label": F.col("sig"), "role": F.lit(0)}
+    edges = _grouped(members.withColumns({"a": own, "b": none, **alone}), words, least)
+    large = members.where("blocks > 1")
+    if not large.limit(1).count():
+        return edges
+
+    def labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        stars = star_components(edges).select(F.col("u").alias("sig"), F.col("v").alias("label"))
+        return rows.join(stars, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+
+    heads = stash(labelled(large, edges).where("label = sig").drop("blocks"), "heads")
+    count = heads.groupBy("root").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    between = heads.join(count, "root").withColumns({"a": own, "b": none, **alone})
+    edges = edges.unionByName(_grouped(between, words, least))
+    large = stash(labelled(large, edges), "large")
+    classes = large.groupBy("root", "label").agg(F.count("*").alias("n"))
+    top = classes.groupBy("root").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("classes"), F.sum("n").alias("all"), F.max("n").alias("most")).where("classes > 1")
+    top = top.select("root", "top", F.ceil((F.col("all") - F.col("most")) / block).cast("long").alias("asks"))
+    apart = stash(large.join(top, "root"), "apart")
+    if apart.limit(1).count():
+        zero = F.lit(0).cast("long")
+        asking = apart.where("label != top").withColumns({"a": F.pmod(F.xxhash64("sig", F.lit(1)), F.col("asks")), "b": F.explode(F.sequence(zero, F.col("blocks") - 1)), "role": F.lit(1)})
+        others = apart.withColumns({"a": F.explode(F.sequence(zero, F.col("asks") - 1)), "b": own, "role": F.lit(2)})
+        edges = edges.unionByName(_grouped(asking.unionByName(others, allowMissingColumns=True), words, least))
+    return edges
+
+
 def verified_duplicates(docs: DataFrame, words: int = 5, radius: int = 8, variants: int = 3, least: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, component_id (smallest doc_id of its component), linked by shingle similarity.
+    """One row per document: doc_id, mark (hash of its text), component_id (smallest doc_id of its component).
 
     Candidates are documents joined by a near fingerprint or an equal band of minimum hashes; within a
-    candidate group every two shingle sets are compared, so only a Jaccard similarity of ``least`` links.
-    Equal shingle sets are one node (64-bit hash). Groups over ``BLOCK`` members are dealt in pairs of blocks.
+    candidate group shingle sets are compared, so only a Jaccard similarity of ``least`` links.
+    Equal shingle sets are one node (64-bit hash).
     """
     small_batches(docs.sparkSession, 500)
 
@@ -436,45 +527,31 @@ def verified_duplicates(docs: DataFrame, words: int = 5, radius: int = 8, varian
                 rows.append((fingerprints(text, words, variants), _signed(xxhash.xxh64_intdigest(shingles.tobytes())), band_hashes(shingles)))
             yield pd.DataFrame(rows, columns=["fp", "sig", "bands"])
 
-    marked = pick(docs, "doc_id", "text").withColumn("p", of(F.col("text")))
-    marked = stash(marked.select("doc_id", "text", F.col("p.sig").alias("sig"), F.col("p.bands").alias("bands"), *[F.col("p.fp")[k].alias(f"fp{k}") for k in range(variants)]), "fp")
-    edges = []
-    for k in range(variants):  # nodes are shingle sets
-        named = marked.select("sig", F.col(f"fp{k}").alias("fp")).distinct()
-        first = stash(named.groupBy("fp").agg(F.min("sig").alias("r"), F.max("sig").alias("top")), "names")
-        alike = named.join(first.where("r != top"), "fp").where("sig != r").select(F.col("sig").alias("u"), F.col("r").alias("v"))
-        found = near_links(first.select("fp"), radius)
-        found = found.join(first.select(F.col("fp").alias("u"), F.col("r").alias("ru")), "u").join(first.select(F.col("fp").alias("v"), F.col("r").alias("rv")), "v")
-        edges += [alike, found.select(F.col("ru").alias("u"), F.col("rv").alias("v"))]
-    banded = stash(marked.select("sig", F.explode("bands").alias("band")).distinct(), "bands")
-    first = banded.groupBy("band").agg(F.min("sig").alias("r"), F.max("sig").alias("top")).where("r != top")
-    edges.append(banded.join(first, "band").where("sig != r").select(F.col("sig").alias("u"), F.col("r").alias("v")))
-    every = edges[0]
-    for more in edges[1:]:
-        every = every.unionByName(more)
-    stars = star_components(every)
+    rows = pick(docs, "doc_id", "text").withColumn("mark", F.xxhash64("text"))
+    marked = rows.withColumn("p", of(F.col("text"))).select("doc_id", "mark", "p.sig", "p.bands", *[F.col("p.fp")[k].alias(f"fp{k}") for k in range(variants)])
+    marked = stash(marked, "fp")
+    stars = star_components(candidate_links(marked, radius, variants))
     members = stars.select(F.col("u").alias("sig"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("sig"), F.col("v").alias("root")).distinct())
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = stash(members.join(sizes, "root"), "members")
-    texts = marked.select("sig", "text").join(members, "sig").groupBy("sig", "root", "blocks").agg(F.first("text").alias("text"))
-    own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
-    dealt = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.where("blocks = 1 or own != other")  # a pair of blocks also holds the pairs within each
-    dealt = dealt.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "sig", "text")
-    dealt = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
-    stars = star_components(dealt.mapInPandas(_verify(words, least), "u long, v long"))
-    classes = marked.groupBy("sig").agg(F.min("doc_id").alias("first_id"))
+    # the text of one document of each set in question
+    id_key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    held = marked.withColumn("id", id_key).groupBy("sig").agg(F.min(F.struct("id", "mark")).alias("of")).select("sig", "of.*")
+    wanted = held.join(members, "sig").select("id", "mark", "sig", "root")
+    texts = rows.withColumn("id", id_key).join(wanted, ["id", "mark"]).groupBy("sig", "root").agg(F.first("text").alias("text"))
+    stars = star_components(verified_links(texts, words, least))
+    classes = marked.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     rooted = classes.join(stars.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "sig").join(rooted.join(smallest, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
+    named = stash(_with_smallest(stash(rooted, "rooted"), ["sig"]), "classes")
+    return split_hot(marked.select("doc_id", "mark", "sig"), named, ["sig"], "n", by=["doc_id", "mark"]).select("doc_id", "mark", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, variants: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stands for its group; rows without an id stay.
+    """The rows of ``docs`` whose doc_id stands for the group of their text; rows without an id stay.
 
     Groups hold texts linked by 0.8 or more of common shingles, see ``verified_duplicates``: 73 of 100
     pairs at exactly 0.8 are met by the fingerprints, nearly all of the rest by a band of minimum hashes.
+    A row goes by its id and its text: another text under the id of a removed row is judged by itself.
     """
     found = verified_duplicates(docs, words, radius, variants)
-    others = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    others = found.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(others, (F.col("id") == F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])

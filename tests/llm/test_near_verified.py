@@ -80,6 +80,35 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert kept == brute(made)
 
 
+def test_large_groups_with_strays(spark, monkeypatch):
+    """A candidate group of several classes over many blocks: what is apart after the blocks is compared whole."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    made = []
+    for k in range(90):  # 60 of one class, 10 of each of three others, all of one candidate group
+        ws, c = list(base), max(0, (k - 50) // 10)
+        for x in range(20 * c, 20 * c + 20 if c else 0):
+            ws[x] = f"c{c}.{x}"
+        ws[rng.randrange(120)] = f"y{k}"
+        made.append((k, " ".join(ws)))
+    sets = [shingles(t) for _, t in made]
+    members = spark.createDataFrame([(k, 1, t) for k, t in made], "sig long, root long, text string")
+    found = simhash.verified_links(members, 5, 0.8).collect()
+    assert all(jaccard(sets[r.u], sets[r.v]) >= 0.8 for r in found)
+    pairs = [(i, j) for i in range(90) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    one, all_ = (simhash.components(90, np.array(x)[:, 0], np.array(x)[:, 1]) for x in ([(r.u, r.v) for r in found], pairs))
+    assert np.array_equal(one, all_) and 1 < len(set(one.tolist())) < 60
+
+
+def test_a_row_goes_by_its_text(spark):
+    a, b = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, a, "x"), (3, a, "y"), (3, b, "z"), (3, b, "z"), (None, a, "n")], "doc_id long, text string, mark string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, [docs.collect()[i] for i in (0, 2, 3, 4)]))
+
+
 def test_spanning_links_are_those_of_all_pairs():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 30, rng.integers(0, 25)).astype(np.uint64)) for _ in range(300)]
