@@ -166,15 +166,6 @@ def test_topk_against_all_pairs(spark):
     assert got == want
 
 
-def test_license_rules():
-    known = {text: name for name, text in licenses.SENTENCES}
-    text = "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\nreleased under the MIT license"
-    assert licenses.scan(text, known, licenses.RULES) == (["apache2", "apacheUse", "mit"], ["Apache-2.0", "MIT"])
-    assert licenses.scan(None, known, licenses.RULES) == licenses.scan("", known, licenses.RULES) == ([], [])
-    assert all(licenses.normalise(s) == s and licenses.ANCHORS.search(s) or name in ("asIs", "gplFree", "orLater", "ccByNc4") for name, s in licenses.SENTENCES if licenses.ANCHORS.search(s))
-    assert all(licenses.ANCHORS.search(s) for _, s in licenses.SENTENCES)
-
-
 def test_packing_round_trip(spark, docs):
     packed = packing.pack(docs, capacity=64, with_ids=True, group_rows=50)
     rows = packed.collect()
