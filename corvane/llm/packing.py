@@ -2,13 +2,14 @@
 
 Documents become token ids plus an end id; those longer than the sequence are cut into full pieces after
 a shorter first one. Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the
-driver: multiplicative weights on the lengths price a knapsack by dynamic programming, which yields the
-configurations of the covering program; their fractional counts are rounded down, the program is solved
-again for what is left, and the last few pieces go by best fit. The plan hands ranges of each length's
+driver. The covering program over configurations is solved by multiplicative weights on the lengths, which
+price a knapsack by dynamic programming, in instalments that are rounded down as they are met; the few
+pieces that this leaves go by best fit. The plan hands ranges of each length's
 ranks to configurations, and the pieces find their place by rank.
 
 Defined cases: null text is empty and yields the end id alone. Repeated rows are packed as often as they
-come. A null doc_id is kept. An empty table yields no row.
+come. A null doc_id is kept. A very long text is tokenized whole, by one task. Extra columns take no part.
+An empty table yields no row.
 """
 
 from __future__ import annotations
@@ -107,61 +108,74 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: st
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + extra)
 
 
-def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: best value of each size, and the last length taken there (0: none)."""
-    lengths = np.flatnonzero(value[1:] > 0) + 1
-    worth = value[lengths]
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def knapsack(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
+    """Exact-fill knapsack by dynamic programming: for each size the last length of its most worthy filling (0: none fills it)."""
+    best, last = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+    best[0] = 0
+    price = worth[lengths]
     for c in range(int(lengths.min(initial=capacity + 1)), capacity + 1):
         n = int(np.searchsorted(lengths, c, side="right"))
-        gains = best[c - lengths[:n]] + worth[:n]
+        gains = best[c - lengths[:n]] + price[:n]
         k = int(gains.argmax())
-        best[c] = best[c - 1]
-        if gains[k] > best[c]:
+        if gains[k] > -np.inf:
             best[c], last[c] = gains[k], lengths[k]
-    return best, last
+    return last.tolist()
 
 
-def configuration(first: int, last: list[int], room: int, bound: np.ndarray) -> tuple:
-    """The best configuration that holds ``first``, as ((length, count), ...), with at most ``bound`` of a length."""
-    config = {first: 1}
+def configuration(first: int, last: list[int], capacity: int, bound: np.ndarray) -> dict[int, int] | None:
+    """The priced filling around ``first`` that fills a sequence to the end, with at most ``bound`` of a length."""
+    config, room = {first: 1}, capacity - first
     while room > 0:
         length = last[room]
-        if not length:
-            room -= 1
-        elif config.get(length, 0) < bound[length]:
-            config[length] = config.get(length, 0) + 1
-            room -= length
-        else:
-            room -= 1
-    return tuple(sorted(config.items(), reverse=True))
+        if not length or config.get(length, 0) >= bound[length]:
+            return None
+        config[length] = config.get(length, 0) + 1
+        room -= length
+    return config
 
 
-def solve(demand: np.ndarray, capacity: int, rounds: int, rate: float = 1.0) -> dict[tuple, float]:
-    """Fractional counts of configurations that cover ``demand``, by multiplicative weights.
+def solve(demand: np.ndarray, capacity: int, rounds: int, steps: int = 10, rate: float = 0.5, rest: float = 0.1, rest_small: float = 0.75) -> dict[tuple, int]:
+    """Counts of full configurations, none of them over ``demand``, by multiplicative weights.
 
-    A length's price is its weight times a size bound of its dual value, a little convex so that long
-    pieces come first. One pricing gives the best configuration around every length; lengths that these
-    cover more than others lose weight.
+    The fractional program is met in ``rounds`` equal instalments, so that it is rounded down a little at a time
+    and what is left keeps the demand's proportions. Within an instalment a knapsack prices fillings by the
+    lengths' weights, each length is used up to its share, and lengths that lag behind the others gain
+    weight. A share of the pieces stays back, a larger one of those up to an eighth of the
+    capacity: the last sequences need small pieces to fill them.
     """
-    lengths = np.flatnonzero(demand)
+    left = demand.copy()
     size = np.arange(capacity + 1) / capacity
-    weight = (demand > 0).astype(float)
-    configs: dict[tuple, float] = {}
-    for _ in range(rounds):
-        _, last = knapsack(weight * (size + 0.2 * size**2), capacity)
-        last_of = last.tolist()
-        covered = np.zeros(capacity + 1)
-        for length in lengths[::-1].tolist():
-            config = configuration(length, last_of, capacity - length, demand)
-            times = demand[length] / dict(config)[length] / rounds
-            configs[config] = configs.get(config, 0) + times
-            for x, n in config:
-                covered[x] += n * times * rounds
-        share = covered[lengths] / demand[lengths]
-        weight[lengths] *= np.exp(-rate * np.minimum(share / share.mean() - 1, 3) / (1 + rate))
-        weight /= weight.max()
-        weight[lengths] = np.maximum(weight[lengths], 1e-6)
+    back = np.where(np.arange(capacity + 1) <= capacity // 8, rest_small, rest)
+    weight = np.zeros(capacity + 1)  # logarithms
+    configs: dict[tuple, int] = {}
+    for k in range(rounds):
+        target = np.floor((1 - (k + 1) / rounds * (1 - back)) * demand).astype(np.int64)
+        for step in range(steps):
+            share = np.maximum(left - target, 0)
+            lengths = np.flatnonzero(share)
+            if not len(lengths):
+                break
+            last = knapsack(np.exp(weight) * size, lengths, capacity)
+            took = False
+            for length in lengths[::-1].tolist():
+                config = configuration(length, last, capacity, share) if share[length] else None
+                if not config:
+                    continue
+                times = min(int(share[x] // n) for x, n in config.items())
+                times = max(1, times // 2) if times and step < steps - 1 else times  # the rest of it at new prices
+                if not times:
+                    continue
+                for x, n in config.items():
+                    left[x] -= n * times
+                    share[x] -= n * times
+                key = tuple(sorted(config.items(), reverse=True))
+                configs[key] = configs.get(key, 0) + times
+                took = True
+            lag = share[lengths] / demand[lengths] * rounds
+            weight[lengths] += rate * (lag - lag.mean())
+            weight = np.clip(weight - weight[demand > 0].mean(), -5, 5)
+            if not took:
+                break
     return configs
 
 
@@ -202,43 +216,25 @@ def best_fit(left: np.ndarray, capacity: int) -> dict[tuple, int]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 12, passes: int = 4) -> list[tuple[tuple, int]]:
+def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 60) -> list[tuple[tuple, int]]:
     """[(configuration as ((length, count), ...), how often)] that holds every piece exactly once.
 
-    After each pass over the program the rest could go by best fit; the pass with the fewest bins counts.
+    Full configurations of the program first, what they leave by best fit. Best fit of all pieces is taken
+    instead where it needs fewer sequences, which happens with few pieces.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    chosen: dict[tuple, int] = {}
-    if left[capacity]:
-        chosen[((capacity, 1),)] = int(left[capacity])
-        left[capacity] = 0
-    best: tuple[int, dict] | None = None
-    for step in range(passes + 1):
-        rest = best_fit(left, capacity)
-        total = sum(chosen.values()) + sum(rest.values())
-        if best is None or total < best[0]:
-            both = dict(chosen)
-            for config, times in rest.items():
-                both[config] = both.get(config, 0) + times
-            best = total, both
-        if step == passes or not left.any():
-            break
-        found = solve(left, capacity, rounds)
-        # full configurations, long pieces first, each as often as the program says, rounded, while pieces last
-        took = 0
-        for config in sorted(found, reverse=True):
-            times = min(int(found[config] + 0.5), *(int(left[x] // n) for x, n in config))
-            if times <= 0 or sum(x * n for x, n in config) < capacity:
-                continue
-            for x, n in config:
-                left[x] -= n * times
-            chosen[config] = chosen.get(config, 0) + times
-            took += times
-        if not took:
-            break
-    return sorted(best[1].items(), reverse=True)
+    whole = {((capacity, 1),): int(left[capacity])} if left[capacity] else {}
+    left[capacity] = 0
+    plain = best_fit(left, capacity)
+    found = solve(left, capacity, rounds) if left.any() else {}
+    for config, times in found.items():
+        for x, n in config:
+            left[x] -= n * times
+    for config, times in best_fit(left, capacity).items():
+        found[config] = found.get(config, 0) + times
+    return sorted((whole | (found if sum(found.values()) <= sum(plain.values()) else plain)).items(), reverse=True)
 
 
 def ranges(planned: list[tuple[tuple, int]]) -> dict[int, list[tuple[int, int, int, int, int]]]:

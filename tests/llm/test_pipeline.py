@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
-from corvane.llm import langid, packing, simhash
+from corvane.llm import langid, packing
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -58,8 +60,11 @@ def brute_language(rows, bench):
     """Smallest total of compressed sizes with a language's labelled texts as dictionary; letters needed, no ties."""
     made = defaultdict(bytes)
     share = Counter(r[2] for r in rows if r[2] and r[1])
-    for r in sorted((r for r in rows if r[2] and r[1]), key=lambda r: (r[0] is None, r[0] or 0)):
-        made[r[2]] += langid.plain(r[1][:512]) + b"\n"
+    spark_hash = lambda i, seed=42: xxhash.xxh64_intdigest(struct.pack("<q", i), seed)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for h, r in sorted(((signed(spark_hash(r[0])), r) for r in rows if r[2] and r[1] and r[0] is not None), key=lambda x: x[0]):
+        start = signed(xxhash.xxh64_intdigest(b"place", spark_hash(r[0]))) % max(1, len(r[1]) - 320 + 1)
+        made[r[2]] += langid.plain(r[1][start : start + 320]) + b"\n"
     sizer = langid.Sizer({x: made[x] for x in share})
     out = []
     for r in rows:
@@ -87,11 +92,17 @@ def brute_lines(rows, bench):
 
 
 def brute_near(rows, bench):
-    prints = [[p % (1 << 64) for p in simhash.fingerprints(r[1], 5, 3)] for r in rows]
+    """Exact similarity of all pairs of texts; one row's id stands for a group."""
+    def shingles(text):
+        ws = (text or "").translate(LOWER).split()
+        return {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets = [shingles(r[1]) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if any((a ^ b).bit_count() <= 8 for a, b in zip(prints[i], prints[j])):
+            both = len(sets[i] | sets[j])
+            if len(sets[i] & sets[j]) >= 0.8 * both:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     least = {}
@@ -156,7 +167,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     want = Counter()
     for r in rows:
-        ids = [*packing.encoder()(r[1] or ""), 2]
+        ids = [*packing.token_ids()(r[1] or ""), 2]
         for k, (start, length) in enumerate(packing.cut(len(ids), 1024)):
             want[r[0], k, start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())] += 1
     assert Counter(tuple(r)[:5] for r in packed) == want
