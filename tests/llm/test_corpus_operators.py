@@ -321,8 +321,11 @@ def test_decontamination_against_brute_force(spark):
         ids = ",".join(sorted(map(str, named)))
         want[i, len(ws), len(hit), len(named), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)] += 1
     assert Counter(map(tuple, decontam.digest(docs, bench).collect())) == want
-    for machines in (decontam.automata(bench), decontam.automata(bench, shard_words=20)):
-        assert Counter((len(decontam.find(t, machines)[0]), sum(b - a for a, b in decontam.find(t, machines)[1])) for t in texts) == Counter(k[1:3] for k in want.elements())
+    for shard_words in (20, 35):  # several shards, and items longer than one
+        assert Counter(map(tuple, decontam.digest(docs, bench, shard_words=shard_words).collect())) == want
+        assert decontam.automata(bench, shard_words=shard_words).count() > 2
+    whole, sharded = (sorted(map(str, decontam.clean(docs, bench, shard_words=n).collect())) for n in (100_000, 20))
+    assert whole == sharded
 
 
 def test_decontamination_cuts_passages(spark):
