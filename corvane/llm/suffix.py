@@ -13,7 +13,8 @@ share one of these strings separate; identical surroundings settle each other on
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing. Rows that repeat doc_id and
 text each count as an occurrence and get the same answer. doc_id may be null. The kept bytes need not
-be valid UTF-8, as removal may begin or end within a character.
+be valid UTF-8, as removal may begin or end within a character. A very long text is cut into anchors a mebibyte at a time.
+Extra columns take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import drop_stash, pick, small_batches, stash
+from ._common import drop_stash, pick, small_batches, split_hot, stash
 
 CHUNK = 1 << 20  # windows handled at a time
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -291,10 +292,12 @@ def _settle(rows: DataFrame, body_hash, shard_limit: int) -> DataFrame:
     without further comparisons, else whether it is crowded)."""
     me = F.xxhash64("did", "mark", "s", "lo")
     keyed = rows.withColumn("ctx", body_hash)
-    kinds = keyed.groupBy("akey", "ctx").agg(F.count("*").alias("n"), F.min(me).alias("first"))
+    kinds = stash(keyed.groupBy("akey", "ctx").agg(F.count("*").alias("n"), F.min(me).alias("first")), "kinds")
     per = kinds.groupBy("akey").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    further = per.where("kinds > 1 and least = 1").select("akey", (F.col("kinds") > shard_limit).alias("hot"))
-    joined = keyed.join(kinds.join(further, "akey", "left"), ["akey", "ctx"])
+    per = stash(per.withColumn("hot", F.when(F.expr("kinds > 1 and least = 1"), F.col("kinds") > shard_limit)), "keys")
+    # a string in a third of all texts has its anchor in as many rows: such keys are split on either side
+    told = stash(split_hot(kinds, per, ["akey"], "kinds", by=["ctx"]).select("akey", "ctx", "n", "first", "hot"), "told")
+    joined = split_hot(keyed, told, ["akey", "ctx"], "n", by=["did", "mark", "s", "lo"])
     return joined.withColumn("stands", me == F.col("first")).drop("first", "ctx")
 
 
@@ -317,8 +320,8 @@ def _parted(rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 400, k: int = 64, shard_limit: int = 2048) -> DataFrame:
     """did, mark, a, b: byte spans covered by repeated strings, of each document (may overlap)."""
     found = stash(docs.mapInPandas(_anchor_rows(length, k), "did long, mark long, s int, lo int, hi int, akey long, ctx long"), "anchors")
-    often = found.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
-    shared = stash(found.join(often, "akey", "left_semi"), "shared")
+    often = stash(found.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    shared = stash(split_hot(found, often, ["akey"], "n", by=["did", "mark", "s"]).select(*found.columns), "shared")
     drop_stash(found)
     settled = stash(_settle(shared, F.col("ctx"), shard_limit), "settled")
     drop_stash(shared)
