@@ -65,7 +65,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 4) -> None:
     """Bound an Arrow batch by rows and by bytes: texts are long, and both sides hold a batch in memory.
 
     Spark reads both settings when a plan runs, so they stay set in the session; smaller ones are left alone.
