@@ -30,6 +30,7 @@ from pyspark.sql.functions import pandas_udf
 from ._common import components, drop_stash, pick, small_batches, split_hot, stash
 
 FAN = 16  # members of a leaf, and leaves of an upper node
+KEY = ["kind", "mask", "val"]  # of a shard
 SMALL = 32  # shards up to this size are one leaf
 ALL_BITS = (1 << 64) - 1
 
@@ -176,23 +177,27 @@ def _search(radius: int, shard_limit: int):
         held: list[pd.DataFrame] = []
 
         def links(frame: pd.DataFrame) -> pd.DataFrame:
-            mask, val = frame["mask"].to_numpy(), frame["val"].to_numpy()
-            codes = frame["fp"].to_numpy().view(np.uint64)
-            group = np.cumsum(np.r_[True, (mask[1:] != mask[:-1]) | (val[1:] != val[:-1])])
+            key = frame[KEY].to_numpy()
+            codes, kind = frame["fp"].to_numpy().view(np.uint64), frame["kind"].to_numpy()
+            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             i, j = _shard_links(group, codes, radius)
-            both = np.concatenate((codes[i], codes[j])).view(np.int64)
-            ids, places = np.unique(both, return_inverse=True)
-            root = components(len(ids), places[: len(i)], places[len(i) :])
-            moved = root != np.arange(len(ids))
-            return pd.DataFrame({"u": ids[moved], "v": ids[root[moved]]})
+            found = []
+            for k in np.unique(kind[i]):
+                of = kind[i] == k
+                both = np.concatenate((codes[i[of]], codes[j[of]])).view(np.int64)
+                ids, places = np.unique(both, return_inverse=True)
+                root = components(len(ids), places[: of.sum()], places[of.sum() :])
+                moved = root != np.arange(len(ids))
+                found.append(pd.DataFrame({"kind": k, "u": ids[moved], "v": ids[root[moved]]}))
+            return pd.concat(found) if found else pd.DataFrame({"kind": [], "u": [], "v": []}, dtype=np.int64)
 
         for frame in frames:
             held.append(frame)
             if sum(map(len, held)) < 1 << 16:
                 continue
             rows = pd.concat(held)
-            mask, val = rows["mask"].to_numpy(), rows["val"].to_numpy()
-            last = int(np.flatnonzero((mask != mask[-1]) | (val != val[-1])).max(initial=-1)) + 1
+            key = rows[KEY].to_numpy()
+            last = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
             held = [rows.iloc[last:]]
             if last:
                 yield links(rows.iloc[:last])
@@ -203,37 +208,38 @@ def _search(radius: int, shard_limit: int):
 
 
 def near_links(fingerprints: DataFrame, radius: int, shard_limit: int = 16_384) -> DataFrame:
-    """Edges (u, v) that connect every two of the distinct ``fp`` at most ``radius`` bits apart.
+    """Edges (kind, u, v) that connect every two of the distinct ``fp`` of a kind at most ``radius`` bits apart.
 
-    Edges run from each fingerprint to a smaller one of its batch's component: they span the links
-    without listing all pairs of a dense group.
+    Kinds (a column, or all one) are searched side by side. Edges run from each fingerprint to a smaller one
+    of its batch's component: they span the links without listing all pairs of a dense group.
     """
+    kind = F.col("kind") if "kind" in fingerprints.columns else F.lit(0)
     masks = {0: segment_masks(ALL_BITS, radius + 2, 2)}
-    rows = fingerprints.select("fp", F.lit(0).cast("long").alias("mask"))
+    rows = fingerprints.select(kind.cast("int").alias("kind"), "fp", F.lit(0).cast("long").alias("mask"))
     edges, parts = [], []
     while True:
         subs = {_signed(m): [_signed(m | x) for x in wider] for m, wider in masks.items()}
         if len(subs) == 1:
-            choices = rows.select("fp", F.explode(F.array(*map(F.lit, next(iter(subs.values()))))).alias("mask"))
+            choices = rows.select("kind", "fp", F.explode(F.array(*map(F.lit, next(iter(subs.values()))))).alias("mask"))
         else:  # as many rows as there are masks, which depends on the level alone
             choices = rows.join(F.broadcast(rows.sparkSession.createDataFrame(list(subs.items()), "mask long, wider array<long>")), "mask")
-            choices = choices.select("fp", F.explode("wider").alias("mask")).distinct()
+            choices = choices.select("kind", "fp", F.explode("wider").alias("mask")).distinct()
         routed = choices.withColumn("val", F.col("fp").bitwiseAND(F.col("mask")))
-        counts = routed.groupBy("mask", "val").count().where("count > 1")
+        counts = routed.groupBy(*KEY).count().where("count > 1")
         counts = stash(counts, "shards")
-        near = routed.join(counts, ["mask", "val"])
+        near = routed.join(counts, KEY)
         shard_ok = F.col("count") <= shard_limit
         # with few free bits a shard of distinct codes cannot be large
         shard_ok = shard_ok | (F.bit_count("mask") >= 64 - 12)
-        dealt = near.where(shard_ok).withColumn("rank", gray_rank(F.col("fp"))).select("mask", "val", "rank", "fp")
-        dealt = dealt.repartition("mask", "val").sortWithinPartitions("mask", "val", "rank")
-        found = stash(dealt.mapInPandas(_search(radius, shard_limit), "u long, v long").distinct(), "links")
+        dealt = near.where(shard_ok).withColumn("rank", gray_rank(F.col("fp"))).select(*KEY, "rank", "fp")
+        dealt = dealt.repartition(*KEY).sortWithinPartitions(*KEY, "rank")
+        found = stash(dealt.mapInPandas(_search(radius, shard_limit), "kind int, u long, v long").distinct(), "links")
         edges.append(found)
         hot = counts.where(~shard_ok)
         if not hot.limit(1).count():
             parts.append(counts)
             break
-        rows = stash(near.where(~shard_ok).select("fp", "mask"), "hot")
+        rows = stash(near.where(~shard_ok).select("kind", "fp", "mask"), "hot")
         parts += [counts, rows]
         hot_masks = [r["mask"] % (1 << 64) for r in hot.select("mask").distinct().collect()]  # at most 15 * 5**level
         masks = {m: segment_masks(ALL_BITS & ~m, radius + 1, 1) for m in hot_masks}
@@ -263,10 +269,13 @@ def star_components(edges: DataFrame, piece: int = 100_000) -> DataFrame:
     piece at most; then large and small stars alternate. Each round ends in a written table.
     """
     edges = stash(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    contracted = edges.repartition(max(1, -(-edges.count() // piece))).mapInPandas(_contract, "u long, v long")
-    fresh = stash(contracted.distinct(), "edges")
+    pieces = max(1, -(-edges.count() // piece))
+    contracted = edges.repartition(pieces).mapInPandas(_contract, "u long, v long")
+    fresh = stash(contracted.distinct() if pieces > 1 else contracted, "edges")
     drop_stash(edges)
     edges = fresh
+    if pieces == 1:  # one task has seen all edges
+        return edges
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.select(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -290,24 +299,13 @@ def star_components(edges: DataFrame, piece: int = 100_000) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, variants: int = 1, shard_limit: int = 16_384) -> DataFrame:
-    """One row per document: doc_id, fp (signed 64-bit fingerprint), component_id (smallest doc_id reachable).
-
-    With several ``variants``, documents link if one of as many independent fingerprints is near.
-    """
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, shard_limit: int = 16_384) -> DataFrame:
+    """One row per document: doc_id, fp (signed 64-bit fingerprint), component_id (smallest doc_id reachable)."""
     small_batches(docs.sparkSession)
-    prints = fingerprint_column(F.col("text"), words, variants)
-    marked = pick(docs, "doc_id", "text").select("doc_id", prints.alias("p")).select("doc_id", *[F.col("p")[k].alias(f"fp{k}") for k in range(variants)])
+    marked = pick(docs, "doc_id", "text").select("doc_id", fingerprint_column(F.col("text"), words)[0].alias("fp0"))
     marked = stash(marked, "fp")
     codes = marked.groupBy("fp0").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     edges = near_links(codes.select(F.col("fp0").alias("fp")), radius, shard_limit)
-    for k in range(1, variants):  # the same over another fingerprint, told in terms of the first
-        named = marked.select("fp0", F.col(f"fp{k}").alias("fp")).distinct()
-        first = stash(named.groupBy("fp").agg(F.min("fp0").alias("r")), "names")
-        alike = named.join(first, "fp").where("fp0 != r").select(F.col("fp0").alias("u"), F.col("r").alias("v"))
-        found = near_links(first.select("fp"), radius, shard_limit)
-        found = found.join(first.select(F.col("fp").alias("u"), F.col("r").alias("ru")), "u").join(first.select(F.col("fp").alias("v"), F.col("r").alias("rv")), "v")
-        edges = edges.unionByName(alike).unionByName(found.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
     stars = star_components(edges)
     rooted = codes.join(stars.select(F.col("u").alias("fp0"), F.col("v").alias("root")), "fp0", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp0"))
@@ -451,16 +449,15 @@ def _grouped(rows: DataFrame, words: int, least: float) -> DataFrame:
     return stash(dealt.mapInPandas(_verify(words, least), "u long, v long"), "verified")
 
 
-def candidate_links(marked: DataFrame, radius: int, variants: int) -> DataFrame:
+def candidate_links(marked: DataFrame, radius: int) -> DataFrame:
     """Edges (u, v) of shingle sets: a near fingerprint of one of the variants, or an equal band of minimum hashes."""
-    edges = []
-    for k in range(variants):
-        named = marked.select("sig", F.col(f"fp{k}").alias("fp")).distinct()
-        first = stash(named.groupBy("fp").agg(F.min("sig").alias("r"), F.max("sig").alias("top")), "names")
-        alike = named.join(first.where("r != top"), "fp").where("sig != r").select(F.col("sig").alias("u"), F.col("r").alias("v"))
-        found = near_links(first.select("fp"), radius)
-        found = found.join(first.select(F.col("fp").alias("u"), F.col("r").alias("ru")), "u").join(first.select(F.col("fp").alias("v"), F.col("r").alias("rv")), "v")
-        edges += [alike, found.select(F.col("ru").alias("u"), F.col("rv").alias("v"))]
+    named = marked.select("sig", F.posexplode("fps").alias("kind", "fp")).distinct()
+    first = stash(named.groupBy("kind", "fp").agg(F.min("sig").alias("r"), F.max("sig").alias("top")), "names")
+    alike = named.join(first.where("r != top"), ["kind", "fp"]).where("sig != r").select(F.col("sig").alias("u"), F.col("r").alias("v"))
+    found = near_links(first.select("kind", "fp"), radius)
+    for end in ("u", "v"):
+        found = found.join(first.select("kind", F.col("fp").alias(end), F.col("r").alias(f"r{end}")), ["kind", end])
+    edges = [alike, found.select(F.col("ru").alias("u"), F.col("rv").alias("v"))]
     banded = stash(marked.select("sig", F.explode("bands").alias("band")).distinct(), "bands")
     first = banded.groupBy("band").agg(F.min("sig").alias("r"), F.max("sig").alias("top"), F.count("*").alias("n")).where("r != top")
     first = stash(first, "bandheads")
@@ -528,9 +525,9 @@ def verified_duplicates(docs: DataFrame, words: int = 5, radius: int = 8, varian
             yield pd.DataFrame(rows, columns=["fp", "sig", "bands"])
 
     rows = pick(docs, "doc_id", "text").withColumn("mark", F.xxhash64("text"))
-    marked = rows.withColumn("p", of(F.col("text"))).select("doc_id", "mark", "p.sig", "p.bands", *[F.col("p.fp")[k].alias(f"fp{k}") for k in range(variants)])
+    marked = rows.withColumn("p", of(F.col("text"))).select("doc_id", "mark", "p.sig", "p.bands", F.col("p.fp").alias("fps"))
     marked = stash(marked, "fp")
-    stars = star_components(candidate_links(marked, radius, variants))
+    stars = star_components(candidate_links(marked, radius))
     members = stars.select(F.col("u").alias("sig"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("sig"), F.col("v").alias("root")).distinct())
     # the text of one document of each set in question
     id_key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
