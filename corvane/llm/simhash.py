@@ -262,7 +262,7 @@ def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": ids[moved], "v": ids[root[moved]]})
 
 
-def star_components(edges: DataFrame, piece: int = 100_000) -> DataFrame:
+def star_components(edges: DataFrame, piece: int = 500_000) -> DataFrame:
     """(u, v): v is the smallest node reachable from u.
 
     Pieces of ``piece`` edges are first contracted by themselves, which leaves an edge per node and
