@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..session import broadcast_if_small
 
 
 def ranked(df: DataFrame, k: int | None, *order, by=("qid",), name: str = "rank") -> DataFrame:
@@ -18,34 +22,62 @@ def ranked(df: DataFrame, k: int | None, *order, by=("qid",), name: str = "rank"
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(id, token, tf)."""
-    return chunks.select(id_col, F.explode(T.tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
+    """(id, token, tf, dl): texts are dealt by id once, so counting and later sums per id need no second shuffle."""
+    held = chunks.select(id_col, T.tokens(F.col(text_col)).alias("w")).repartition(id_col)
+    rows = held.select(id_col, F.size("w").cast("long").alias("dl"), F.explode("w").alias("token"))
+    return rows.groupBy(id_col, "dl", "token").agg(F.count("*").alias("tf")).select(id_col, "token", "tf", "dl")
 
 
 def doc_lengths(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     return chunks.select(id_col, F.size(T.tokens(F.col(text_col))).cast("long").alias("dl"))
 
 
+def document_frequencies(posts: DataFrame) -> DataFrame:
+    return posts.groupBy("token").agg(F.count("*").alias("df"))
+
+
+def corpus_stats(lengths: DataFrame) -> DataFrame:
+    """One row: n, avgdl."""
+    return lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+
+
+@dataclass
+class Index:
+    """Tables of lexical search: posts (id, token, tf, dl), dfs (token, df), stats (n, avgdl)."""
+
+    posts: DataFrame
+    stats: DataFrame
+    dfs: DataFrame | None = None
+
+
+def index(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Index:
+    """The index of chunks; ``keep`` (frame, name) writes each of its tables, of which the later come from the first."""
+    keep = keep or (lambda df, name: df)
+    posts = keep(postings(chunks), "postings")
+    return Index(posts, keep(corpus_stats(doc_lengths(chunks)), "stats"), keep(document_frequencies(posts), "frequencies"))
+
+
 def idf(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(queries: DataFrame, posts: DataFrame, lengths: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "chunk_id") -> DataFrame:
-    """(qid, id, raw): query tokens count once; only the postings of query tokens are read further."""
+def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, dfs: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, id_col: str = "chunk_id") -> DataFrame:
+    """(qid, id, raw): query tokens count once; only the postings of query tokens are read further.
+
+    ``dfs`` (token, df) and ``stats`` (n, avgdl) belong to ``posts``; without ``dfs`` they are counted there.
+    """
     asked = queries.select("qid", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("token"))
-    wanted = broadcast_if_small(asked.select("token").distinct())
-    posts = posts.join(wanted, "token", "left_semi")
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-    hits = asked.join(posts, "token").join(broadcast_if_small(df), "token").join(lengths, id_col)
-    return hits.groupBy("qid", id_col).agg(F.round(F.sum(idf(F.lit(n), F.col("df")) * tf), 6).alias("raw"))
+    if dfs is None:
+        dfs = document_frequencies(posts.join(asked.select("token").distinct(), "token", "left_semi"))
+    asked = asked.join(dfs, "token").crossJoin(F.broadcast(stats))  # one row
+    weighted = asked.select("qid", "token", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return posts.join(weighted, "token").groupBy("qid", id_col).agg(F.round(F.sum(F.col("idf") * tf), 6).alias("raw"))
 
 
-def bm25_top_k(queries: DataFrame, posts: DataFrame, lengths: DataFrame, k: int, id_col: str = "chunk_id", **kw) -> DataFrame:
+def bm25_top_k(queries: DataFrame, posts: DataFrame, stats: DataFrame, k: int, id_col: str = "chunk_id", **kw) -> DataFrame:
     """(qid, id, rank, score, bm25): score is the share of the query's best raw score; bm25 keeps six places."""
-    scored = bm25_scores(queries, posts, lengths, id_col=id_col, **kw).where("raw > 0")
+    scored = bm25_scores(queries, posts, stats, id_col=id_col, **kw).where("raw > 0")
     top = ranked(scored, k, F.desc("raw"), id_col)
     best = F.max("raw").over(Window.partitionBy("qid"))
     return top.select("qid", id_col, "rank", F.round(F.col("raw") / best, 4).alias("score"), F.col("raw").alias("bm25"))
@@ -56,18 +88,79 @@ def without_documents(posts: DataFrame, lengths: DataFrame, removed: DataFrame,
     return posts.join(removed, id_col, "left_anti"), lengths.join(removed, id_col, "left_anti")
 
 
-def vector_scores(queries: DataFrame, chunks: DataFrame, scope: list[str] | None = None, clamp: bool = True) -> DataFrame:
-    """(qid, id, score): cosine of every query with every row in scope (equal ``scope`` columns, or all)."""
-    asked = broadcast_if_small(queries)
-    pairs = chunks.join(asked, scope) if scope else chunks.crossJoin(asked)
+def vector_scores(queries: DataFrame, chunks: DataFrame, scope: list[str], clamp: bool = True) -> DataFrame:
+    """(qid, id, score): cosine of every query with every row of equal ``scope`` columns."""
     score = V.dot(F.col("embedding"), F.col("qvec")) if not clamp else F.greatest(V.cosine(F.col("embedding"), F.col("qvec")), F.lit(0.0))
-    return pairs.withColumn("score", F.round(score, 4 if clamp else 6))
+    return chunks.join(queries, scope).withColumn("score", F.round(score, 4 if clamp else 6))
+
+
+ASKED = 4096  # queries that a task holds at a time
+
+
+def _matrix(vectors: list) -> np.ndarray:
+    """Rows of one dimension; others are None and score nothing."""
+    return np.array(vectors, np.float64).reshape(len(vectors), -1)
+
+
+def _nearest(asked, k: int, cosine: bool, places: int):
+    """The rows of each batch that can be among a query's k best, by one matrix product for each dimension."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups: dict[int, list] = {}
+        for qid, v in asked.value:
+            groups.setdefault(len(v), []).append((qid, v))
+        held = {n: (np.array([q for q, _ in rows]), _matrix([v for _, v in rows])) for n, rows in groups.items() if n}
+        norms = {n: np.sqrt((m**2).sum(axis=1)) for n, (_, m) in held.items()}
+        least = {n: np.full(len(q), -np.inf) for n, (q, _) in held.items()}  # each query's k-th score so far
+        for frame in frames:
+            sizes = frame["embedding"].map(lambda v: 0 if v is None else len(v)).to_numpy()
+            for n, (qids, queries) in held.items():
+                part = frame[sizes == n]
+                if not len(part):
+                    continue
+                ids, rows = part["id"].to_numpy(), _matrix(part["embedding"].tolist())
+                for at in range(0, len(qids), 256):
+                    some = slice(at, at + 256)
+                    score = queries[some] @ rows.T
+                    if cosine:
+                        size = norms[n][some][:, None] * np.sqrt((rows**2).sum(axis=1))[None, :]
+                        score = np.maximum(np.divide(score, size, out=np.zeros_like(score), where=size > 0), 0.0)
+                    if len(ids) >= k:
+                        best = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+                        least[n][some] = np.maximum(least[n][some], best)
+                    q, spot = np.nonzero(score >= least[n][some][:, None] - 2 * 10.0**-places)  # ties are told apart after rounding
+                    yield pd.DataFrame({"qid": qids[some][q], "id": ids[spot], "score": score[q, spot]})
+
+    return run
 
 
 def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id", scope: list[str] | None = None, clamp: bool = True, where: str | None = None) -> DataFrame:
-    """(qid, id, rank, score)."""
+    """(qid, id, rank, score): the query set against all rows, or against rows of equal ``scope`` columns.
+
+    Without a scope the queries (integer qid and ids) go out in blocks of ``ASKED``, each a broadcast of that
+    bound, and rows are scored where they lie.
+    """
     rows = chunks.where(where) if where else chunks
-    return ranked(vector_scores(queries, rows, scope, clamp), k, F.desc("score"), id_col).select("qid", id_col, "rank", "score")
+    order = F.desc("score"), id_col
+    if scope:
+        return ranked(vector_scores(queries, rows, scope, clamp), k, *order).select("qid", id_col, "rank", "score")
+    spark, places = queries.sparkSession, 4 if clamp else 6
+    found, block = None, []
+    held = rows.select(F.col(id_col).cast("long").alias("id"), "embedding")
+
+    def answer() -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+        part = held.mapInPandas(_nearest(shared, k, clamp, places), "qid long, id long, score double")
+        return part if found is None else found.unionByName(part)
+
+    for row in queries.select("qid", "qvec").where("qid is not null and qvec is not null").toLocalIterator():
+        block.append((row["qid"], [float(x) if x is not None else float("nan") for x in row["qvec"]]))
+        if len(block) == ASKED:
+            found, block = answer(), []
+    if block or found is None:
+        found = answer()
+    rounded = found.select("qid", F.col("id").alias(id_col), F.round("score", places).alias("score"))
+    return ranked(rounded, k, *order).select("qid", id_col, "rank", "score")
 
 
 def mean_vector(hits: DataFrame, k: int, dims: int) -> DataFrame:
@@ -94,6 +187,6 @@ def feedback_terms(hits: DataFrame, k: int = 8, terms: int = 5, stop: list[str]
 
 def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """query with the synonyms (word, syn, word_pos, syn_pos) of words it holds, those it lacks, appended."""
-    hit = queries.join(broadcast_if_small(synonyms), F.lower("query").contains(F.col("word")) & ~F.col("query").contains(F.col("syn")))
+    hit = queries.join(synonyms, F.lower("query").contains(F.col("word")) & ~F.col("query").contains(F.col("syn")))
     added = hit.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_pos", "syn_pos", "syn"))), lambda s: s["syn"]), " ").alias("extra"))
     return queries.join(added, "qid", "left").withColumn("query", F.concat_ws(" ", "query", "extra")).drop("extra")

@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def percentile_even(q: float, value: Column) -> Column:
-    """Sorted value at the half-even rounded position q (n - 1), as an aggregate. One group's values form one array."""
-    values = F.sort_array(F.collect_list(value))
-    return F.round(F.element_at(values, (F.bround(F.lit(q) * (F.size(values) - 1)) + 1).cast("int")), 2)
+def percentile_even(rows: DataFrame, by: list[str], value: str, **qs: float) -> DataFrame:
+    """by and, for each named q, the sorted value at the half-even rounded position q (n - 1).
+
+    Values are counted first and found by running sums of the counts, so that no group is gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_v"))
+    held = counts.withColumns({"_to": upto, "_n": F.sum("_c").over(Window.partitionBy(*by))})
+    at = {name: F.bround(F.lit(q) * (F.col("_n") - 1)) for name, q in qs.items()}
+    first = {name: F.round(F.min(F.when(F.col("_to") > spot, F.col("_v"))), 2).alias(name) for name, spot in at.items()}
+    return held.groupBy(*by).agg(*first.values())
 
 
 def percentile_rank(q: float, value: str) -> Column:

@@ -21,7 +21,7 @@ def log(spark, d) -> DataFrame:
 
 
 def percentiles_even(spark, d) -> DataFrame:
-    return log(spark, d).groupBy("route").agg(*[stats.percentile_even(q, F.col("latency")).alias(name) for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    return stats.percentile_even(log(spark, d), ["route"], "latency", p50=0.5, p95=0.95, p99=0.99)
 
 
 def percentiles_histogram(spark, d) -> DataFrame:

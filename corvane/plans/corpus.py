@@ -69,7 +69,7 @@ def supply_edges(spark, d) -> DataFrame:
 
 
 def hops(spark, d) -> DataFrame:
-    seeds = table(spark, d, "supplier").where("s_suppkey <= 3").select(F.col("s_name").alias("seed"))
+    seeds = table(spark, d, "supplier").select(F.col("s_name").alias("seed"))
     found = graph.multi_hop(supply_edges(spark, d), seeds, 3)
     return found.groupBy("seed", "hop").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("via").alias("via"))
 
@@ -88,14 +88,14 @@ def routes(spark, d) -> DataFrame:
 
 def ledger(spark, d) -> DataFrame:
     """Sentences with numbers rendered from orders and their lines."""
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 0")
-    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    o = table(spark, d, "orders")
+    li = table(spark, d, "lineitem")
     total = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
     return o.join(total, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("revenue "), F.format_string("%.2f", "o_totalprice"), F.lit("元 and "), F.format_string("%.0f", "q"), F.lit(" units in "), F.col("n").cast("string"), F.lit(" lines")).alias("text"))
 
 
 def line_sources(spark, d) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    li = table(spark, d, "lineitem")
     return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("string").alias("name"), F.concat(F.lit("revenue "), F.format_string("%.2f", "l_extendedprice"), F.lit("元, "), F.format_string("%.0f", "l_quantity"), F.lit(" units")).alias("text"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("as_of"), F.col("l_suppkey").cast("string").alias("grp"))
 
 
@@ -143,7 +143,7 @@ def text_functions(spark, d) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "conversations").select(
         "conv_id", "turn", T.is_refusal(t).alias("refused"), F.size(T.number_strings(t)).cast("long").alias("numbers"), T.anchor_year(t).cast("long").alias("year"),
-        F.size(T.char_ngrams(F.substring(t, 1, 24))).cast("long").alias("grams"), T.content_id(t).alias("cid"), T.normalize_query(t, ("the", "hello")).alias("norm"),
+        F.size(T.char_ngrams(t)).cast("long").alias("grams"), T.content_id(t).alias("cid"), T.normalize_query(t, ("the", "hello")).alias("norm"),
     )
 
 
@@ -159,7 +159,7 @@ ht AS (SELECT item_id AS qid, skill, max(weight) AS conf, min(pos) AS pos FROM b
 rt AS (SELECT qid, skill, conf, pos FROM (SELECT *, max(CASE WHEN skill != 'direct' THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS other FROM ht) WHERE skill != 'direct' OR other = 0)"""
 _MULTI = """tp AS (SELECT *, max(conf) OVER (PARTITION BY qid) AS top, row_number() OVER (PARTITION BY qid ORDER BY conf DESC, pos) AS rank FROM rt),
 mr AS (SELECT qid, skill, conf, pos, rank FROM tp WHERE (top >= 0.85 AND (rank = 1 OR (rank = 2 AND conf >= top - 0.1))) OR (top < 0.85 AND rank <= 3))"""
-_LEDGER = """li AS (SELECT * FROM lineitem WHERE l_orderkey % 50 = 0), tl AS (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n FROM li GROUP BY 1),
+_LEDGER = """li AS (SELECT * FROM lineitem), tl AS (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n FROM li GROUP BY 1),
 cl AS (SELECT o_orderkey AS id, unnest([0, 1, 2]) AS pos, unnest([round(o_totalprice, 2), q, n]) AS value, unnest(['CNY', 'COUNT', 'COUNT']) AS unit FROM orders JOIN tl ON o_orderkey = l_orderkey)"""
 
 PLANS = {
@@ -186,7 +186,7 @@ PLANS = {
     "entity_relation_graph": (relations, None),
     "graph_multi_hop": (
         hops,
-        f"""WITH {_EDGES}, h0 AS (SELECT s_name AS seed, s_name AS node FROM supplier WHERE s_suppkey <= 3),
+        f"""WITH {_EDGES}, h0 AS (SELECT s_name AS seed, s_name AS node FROM supplier),
         h1 AS (SELECT seed, b AS node, min(seq) AS via FROM h0 JOIN both_ways ON node = a WHERE (seed, b) NOT IN (SELECT seed, node FROM h0) GROUP BY ALL),
         r1 AS (SELECT seed, node FROM h0 UNION ALL SELECT seed, node FROM h1),
         h2 AS (SELECT seed, b AS node, min(seq) AS via FROM h1 JOIN both_ways ON node = a WHERE (seed, b) NOT IN (SELECT seed, node FROM r1) GROUP BY ALL),
@@ -227,7 +227,7 @@ PLANS = {
         text_functions,
         r"""SELECT conv_id, turn, regexp_matches(text, '未找到|无法回答|相关度过低|不匹配|换一种表述|无法确认|未提及') AS refused, len(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) AS numbers,
         CAST(nullif(regexp_extract(text, '(20\d{2})', 1), '') AS BIGINT) AS year,
-        CASE WHEN length(text) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(least(length(text), 24) - 1, 1) + 1), lambda i: substr(substr(text, 1, 24), i, 2)))) END AS grams,
+        CASE WHEN length(text) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(text) - 1, 1) + 1), lambda i: substr(text, i, 2)))) END AS grams,
         substr(sha256(text), 1, 16) AS cid, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^(?:(?:hello|the)[，,。：:、 ]*)+', '') AS norm FROM conversations""",
     ),
 }

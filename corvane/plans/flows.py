@@ -17,7 +17,7 @@ from ._sql import BM25, OVERLAP, QRELS, words
 
 
 def evidence(spark, d) -> DataFrame:
-    return flow.ask(retrieval.questions(spark, d), retrieval.chunks(spark, d))
+    return flow.ask(retrieval.questions(spark, d), retrieval.chunks(spark, d), index=retrieval.index(spark, d))
 
 
 def answered(spark, d) -> DataFrame:
@@ -123,11 +123,11 @@ def outcomes(spark, d) -> DataFrame:
 
 
 def redundant_parents(spark, d) -> DataFrame:
-    """Children with their parents' text: lines as children of their document."""
+    """Children with their parents' text: every line is a child of its document."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    kids = docs.select(F.concat(F.col("chunk_id").cast("string"), F.lit("#0")).alias("kid"), F.col("chunk_id").alias("parent_id"), F.split("content", "\n")[0].alias("content"))
-    out = fusion.expand_parents(kids, docs)
-    return out.select(F.col("kid").alias("chunk_id"), F.length("parent_content").cast("long").alias("n"))
+    kids = docs.select(F.col("chunk_id").alias("parent_id"), F.posexplode(F.split("content", "\n")).alias("line", "content"))
+    out = fusion.expand_parents(kids.withColumn("chunk_id", F.concat_ws("#", F.col("parent_id").cast("string"), F.col("line").cast("string"))), docs)
+    return out.select("chunk_id", F.length("parent_content").cast("long").alias("n"))
 
 
 def semantic_density(spark, d) -> DataFrame:
@@ -151,7 +151,7 @@ PLANS = {
     "answer_events": (lambda s, d: flow.event_rows(answered(s, d)).groupBy("type").agg(F.count("*").alias("n")), None),
     "routed_evidence": (
         lambda s, d: flow.route_and_ask(
-            corpus.asked(s, d), retrieval.chunks(s, d), corpus.lexicon(s), s.createDataFrame([("policy", "src1"), ("tech", "src2"), ("service", "src3"), ("faq", "src4"), ("legal", "src5"), ("direct", "src6")], ["skill", "kb"])
+            corpus.asked(s, d), retrieval.chunks(s, d), corpus.lexicon(s), s.createDataFrame([("policy", "src1"), ("tech", "src2"), ("service", "src3"), ("faq", "src4"), ("legal", "src5"), ("direct", "src6")], ["skill", "kb"]), index=retrieval.index(s, d)
         ).select("qid", "kb", "chunk_id", "raw", "rank"),
         f"""WITH {BM25}, {corpus._ROUTES}, {corpus._MULTI}, kb(skill, kb) AS (VALUES ('policy', 'src1'), ('tech', 'src2'), ('service', 'src3'), ('faq', 'src4'), ('legal', 'src5'), ('direct', 'src6')),
         ro AS (SELECT item_id AS qid, kb FROM (SELECT item_id, coalesce(skill, 'tech') AS skill FROM benchmark LEFT JOIN (SELECT * FROM mr WHERE rank = 1) ON qid = item_id) JOIN kb USING (skill))
@@ -202,14 +202,15 @@ PLANS = {
     ),
     "memory_recall": (
         memory,
-        f"""WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(greatest({retrieval.cos('c.embedding', 'q.embedding')}, 0), 4) AS score FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id < 20)
+        f"""WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(greatest({retrieval.cos('c.embedding', 'q.embedding')}, 0), 4) AS score FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 50 = 0)
         SELECT qid, chunk_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 3""",
     ),
     "image_search": (images_found, None),
     "verdict_outcomes": (outcomes, None),
     "parent_expansion": (
         redundant_parents,
-        "SELECT doc_id || '#0' AS chunk_id, length(nullif(text, string_split(text, chr(10))[1])) AS n FROM documents",
+        """WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+        SELECT doc_id || '#' || i AS chunk_id, length(nullif(text, line)) AS n FROM l""",
     ),
     "retrieval_confidence": (
         semantic_density,

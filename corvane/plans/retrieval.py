@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import evaluate, fusion, search, state
 from ..operators.search import ranked
-from ..session import broadcast_if_small, table
+from ..session import table, version, written
 from ._sql import BM25, OVERLAP, QRELS, VECTOR, cos, words
 
 
@@ -26,20 +26,28 @@ def vectors(spark, d) -> DataFrame:
 
 
 def vector_questions(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
+    """The query set: every row whose id is divisible by 50."""
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
 
 
-def bm25(spark, d, k: int = 20) -> DataFrame:
+def index(spark, d) -> search.Index:
+    """The lexical index of the documents, written once for an application."""
     rows = chunks(spark, d)
-    return search.bm25_top_k(questions(spark, d), search.postings(rows), search.doc_lengths(rows), k)
+    return search.index(rows, lambda df, name: written(df, name, version(rows)))
+
+
+def bm25(spark, d, k: int = 20) -> DataFrame:
+    held = index(spark, d)
+    return search.bm25_top_k(questions(spark, d), held.posts, held.stats, k, dfs=held.dfs)
 
 
 def overlap(spark, d, k: int = 20) -> DataFrame:
     """Keyword-overlap baseline: share of the query's words that the text holds, through the postings."""
     asked = questions(spark, d).select("qid", F.array_distinct(T.tokens(F.col("query"))).alias("qw"))
     terms = asked.select("qid", F.size("qw").alias("n"), F.explode("qw").alias("token"))
-    posts = search.postings(chunks(spark, d)).select("chunk_id", "token")
-    hit = posts.join(broadcast_if_small(terms), "token").groupBy("qid", "chunk_id").agg(F.round(F.count("*") / F.first("n"), 4).alias("score"))
+    posts = index(spark, d).posts.select("chunk_id", "token")
+    hit = posts.join(terms, "token").groupBy("qid", "chunk_id", "n").agg(F.count("*").alias("hits"))
+    hit = hit.withColumn("score", F.round(F.col("hits") / F.col("n"), 4))
     return ranked(hit, k, F.desc("score"), "chunk_id").select("qid", "chunk_id", "score", "rank")
 
 
@@ -48,9 +56,33 @@ def vector(spark, d, k: int = 20, **kw) -> DataFrame:
 
 
 def qrels(spark, d) -> DataFrame:
-    """Documents that hold a passage verbatim."""
-    q = broadcast_if_small(questions(spark, d))
-    return chunks(spark, d).join(q, F.col("content").contains(F.col("query"))).select("qid", "chunk_id")
+    """Documents that hold a passage verbatim.
+
+    A text that holds a passage has its inner words as words of its own: the passage's rarest inner word finds the
+    candidates in the postings, and only these are searched. Passages of one or two words are looked for everywhere.
+    """
+    return written(_qrels(spark, d), "qrels", version(chunks(spark, d)) + version(questions(spark, d)))
+
+
+def _qrels(spark, d) -> DataFrame:
+    held = index(spark, d)
+    words = T.tokens(F.col("query"))
+    asked = questions(spark, d).where("query is not null").withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    inner = asked.select("qid", F.explode(F.array_distinct("inner")).alias("token")).join(held.dfs, "token")
+    full = asked.where("size(inner) > 0").select("qid", F.size(F.array_distinct("inner")).alias("n"))
+    rare = inner.groupBy("qid").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.count("*").alias("known")).join(full, "qid").where("known = n")
+    near = rare.select("qid", "token").join(held.posts.select("token", "chunk_id"), "token").select("qid", "chunk_id")
+    texts = near.join(asked.select("qid", "query"), "qid").join(chunks(spark, d).select("chunk_id", "content"), "chunk_id")
+    found = texts.where(F.col("content").contains(F.col("query"))).select("qid", "chunk_id")
+    short = asked.where("size(inner) = 0").select("qid", "query")
+    return found.unionByName(chunks(spark, d).join(short, F.col("content").contains(F.col("query"))).select("qid", "chunk_id"))
+
+
+def after_delete(spark, d) -> DataFrame:
+    """The index without a source's documents: frequencies and mean length follow."""
+    rows = chunks(spark, d)
+    posts, lengths = search.without_documents(index(spark, d).posts, search.doc_lengths(rows), rows.where("kb = 'src0'").select("chunk_id"))
+    return search.bm25_top_k(questions(spark, d), posts, search.corpus_stats(lengths), 5)
 
 
 def legs(spark, d) -> DataFrame:
@@ -63,8 +95,8 @@ def interp(spark, d, weight: float = 0.5) -> DataFrame:
 
 
 def interleaved(spark, d) -> DataFrame:
-    rows = chunks(spark, d)
-    raw = search.bm25_scores(questions(spark, d), search.postings(rows), search.doc_lengths(rows)).join(rows.select("chunk_id", "kb"), "chunk_id")
+    held = index(spark, d)
+    raw = search.bm25_scores(questions(spark, d), held.posts, held.stats, held.dfs).join(chunks(spark, d).select("chunk_id", "kb"), "chunk_id")
     each = ranked(raw.withColumnRenamed("raw", "score"), 3, F.desc("score"), "chunk_id", by=("qid", "kb"))
     return fusion.interleave(each.withColumn("kb_order", F.col("kb")), 10).select("qid", "chunk_id", "kb", "score", "place")
 
@@ -73,7 +105,7 @@ def fallback(spark, d) -> DataFrame:
     """Questions whose first overlap hit is weak get the lexical leg's rows appended, then ten in all."""
     base = overlap(spark, d, 5)
     weak = fusion.need_fallback(base, questions(spark, d), 0.75)
-    extra = bm25(spark, d, 10).join(broadcast_if_small(weak), "qid", "left_semi").select("qid", "chunk_id", "score", "rank")
+    extra = bm25(spark, d, 10).join(weak, "qid", "left_semi").select("qid", "chunk_id", "score", "rank")
     return fusion.append_distinct(base, extra).where("place <= 10").select("qid", "chunk_id", "score", "place")
 
 
@@ -187,9 +219,7 @@ PLANS = {
     "bm25_topk": (bm25, f"WITH {BM25} SELECT * FROM bm"),
     "keyword_overlap_topk": (overlap, f"WITH {OVERLAP} SELECT qid, chunk_id, score, rank FROM ov"),
     "bm25_after_delete": (
-        lambda s, d: search.bm25_top_k(
-            questions(s, d), *search.without_documents(search.postings(chunks(s, d)), search.doc_lengths(chunks(s, d)), chunks(s, d).where("kb = 'src0'").select("chunk_id")), 5
-        ),
+        after_delete,
         f"WITH {BM25.replace('FROM documents', chr(70) + 'ROM (SELECT * FROM documents WHERE source != ' + chr(39) + 'src0' + chr(39) + ')')} SELECT qid, chunk_id, rank, score, bm25 FROM (SELECT qid, chunk_id, rank, round(raw / max(raw) OVER (PARTITION BY qid), 4) AS score, raw AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, chunk_id) AS rank FROM raws WHERE raw > 0)) WHERE rank <= 5",
     ),
     "vector_topk": (vector, f"WITH {VECTOR} SELECT qid, chunk_id, rank, score FROM vk"),
@@ -199,7 +229,7 @@ PLANS = {
     ),
     "vector_topk_unclamped": (
         lambda s, d: vector(s, d, 5, clamp=False),
-        "SELECT qid, chunk_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id < 20)) WHERE rank <= 5",
+        "SELECT qid, chunk_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, round(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 5",
     ),
     "rrf_fusion": (
         lambda s, d: fusion.rrf(legs(s, d)),
@@ -297,7 +327,7 @@ PLANS = {
     ),
     "semantic_cache_hit": (
         semantic_cache,
-        f"""WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS key, round({cos('c.embedding', 'q.embedding')}, 6) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id != c.vec_id WHERE q.vec_id < 20)
+        f"""WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS key, round({cos('c.embedding', 'q.embedding')}, 6) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id != c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT qid, key, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS n FROM s WHERE score >= 0.25) WHERE n = 1""",
     ),
     "context_precision": (

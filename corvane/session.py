@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after counting no more than ``max_rows``; otherwise leave the strategy to the planner."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+_local: dict[str, str] = {}
+_kept: dict[tuple, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; in local mode a temporary one where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    return _local[app]
+
+
+def written(df: DataFrame, label: str, key: tuple | None = None) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder; one table for each ``key`` and application, made when first asked for."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, label, key)
+    path = _kept.get(key) if key[2] is not None else None
+    if path is None:
+        path = f"{shared_folder(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if key[2] is not None:
+            _kept[key] = path
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def version(df: DataFrame) -> tuple:
+    """What a table read from files was read from: part of the key of what is derived from it."""
+    return tuple(sorted(df.inputFiles()))

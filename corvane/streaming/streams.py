@@ -30,8 +30,11 @@ def session_counts(events: DataFrame, ts: str, key: str, gap: str, late: str = "
     return out.select(F.col("session_window.start").alias("start"), key, "n")
 
 
-def breaker(limit: int) -> Callable:
+def breaker(limit: int, idle_ms: int) -> Callable:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failures = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(["ts", "id"])
         out = []
@@ -39,20 +42,24 @@ def breaker(limit: int) -> Callable:
             failures = 0 if row.ok else failures + 1
             out.append((key[0], row.id, failures, failures >= limit))
         state.update((failures,))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "id", "failures", "open"])
 
     return step
 
 
-def circuit_breaker(calls: DataFrame, limit: int = 5) -> DataFrame:
-    """(key, id, failures, open) of calls (key, id, ts, ok): consecutive failures held in keyed state."""
-    return calls.groupBy("key").applyInPandasWithState(breaker(limit), "key string, id long, failures long, open boolean", "failures long", "append", GroupStateTimeout.NoTimeout)
+def circuit_breaker(calls: DataFrame, limit: int = 5, idle_ms: int = 86_400_000) -> DataFrame:
+    """(key, id, failures, open) of calls (key, id, ts, ok): consecutive failures held in keyed state.
+
+    Calls are taken in the order of their batches, within a batch by time; a key that is idle for ``idle_ms`` is forgotten.
+    """
+    return calls.groupBy("key").applyInPandasWithState(breaker(limit, idle_ms), "key string, id long, failures long, open boolean", "failures long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def answer_stream(questions: DataFrame, plan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
-    """Run a batch plan on each micro-batch of questions and append its rows to ``sink``."""
+    """Run a batch plan on each micro-batch of questions and write its rows as a partition of ``sink``."""
 
     def each(batch: DataFrame, number: int) -> None:
-        plan(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        plan(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")  # a batch that runs again replaces its rows
 
     return questions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -242,9 +242,10 @@ def test_routing_scope(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 101)], ["g", "v"])
-    r = df.groupBy("g").agg(stats.percentile_even(0.95, F.col("v")).alias("e"), stats.percentile_rank(0.95, "v").alias("r")).first()
-    assert (r.e, r.r) == (95.0, 95.0)
-    assert spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (5.0,), (6.0,)], ["v"]).agg(stats.percentile_even(0.5, F.col("v"))).first()[0] == 3.0
+    assert df.groupBy("g").agg(stats.percentile_rank(0.95, "v").alias("r")).first().r == 95.0
+    assert stats.percentile_even(df, ["g"], "v", e=0.95, m=0.5).collect()[0][1:] == (95.0, 51.0)
+    six = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (5.0,), (6.0,), (None,)], "v double")
+    assert stats.percentile_even(six, [], "v", m=0.5).collect()[0][0] == 3.0
     assert one(spark, stats.rate(F.lit(3), F.lit(1)), stats.rate(F.lit(0), F.lit(0))) == (0.75, 0.0)
 
 
@@ -283,3 +284,34 @@ def test_streams(spark, tmp_path):
     assert got == sorted(want)
     streams.answer_stream(source(), lambda b: b.groupBy("key").count(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 60
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from corvane.operators import search
+
+    monkeypatch.setattr(search, "ASKED", 3)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)] + [(90, None), (91, [1.0, 2.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    asked = chunks.where("chunk_id % 7 = 0").selectExpr("chunk_id as qid", "embedding as qvec")
+    got = sorted(map(tuple, search.vector_top_k(asked, chunks, 5).collect()))
+    want = []
+    for q, v in rows:
+        if q % 7 == 0 and v is not None:
+            unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-300)
+            near = sorted((-round(max(float(unit(v) @ unit(w)), 0.0), 4), i) for i, w in rows if w is not None and len(w) == len(v))[:5]
+            want += [(q, i, r + 1, -s) for r, (s, i) in enumerate(near)]
+    assert got == sorted(want)
+
+
+def test_passages_are_found_by_their_rarest_inner_word(spark, tmp_path):
+    from corvane.plans import retrieval
+
+    texts = ["alpha beta gamma delta", "xalpha beta gamma deltax", "beta", "alpha  beta gamma delta", "Alpha beta gamma delta", None, "the beta word"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(0, "alpha beta gamma delta"), (1, "beta"), (2, "lpha beta gamm"), (3, "beta unknown word"), (4, None), (5, "a b")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sorted((q, i) for q, p in items for i, t in enumerate(texts) if p is not None and t is not None and p in t)
+    assert sorted(map(tuple, retrieval.qrels(spark, str(tmp_path)).collect())) == want
