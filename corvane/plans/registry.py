@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, corpus, flows, retrieval
+from . import analytics, corpus, flows, retrieval, service
 
-PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS, **flows.PLANS}
+PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS, **flows.PLANS, **service.PLANS}
 
 
 def queries() -> dict:
