@@ -209,8 +209,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, block: int = 4096, query_bl
     """
     spark = vectors.sparkSession
     asked = vectors.where(is_query)
-    groups = max(1, -(-asked.count() // query_block))
-    parts = max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))
+    n, n_asked = vectors.agg(F.count("*"), F.count_if(is_query)).first()
+    groups = max(1, -(-n_asked // query_block))
+    # a part holds a block at least: each part answers k rows a query
+    parts = max(1, min(-(-n // block), -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // groups)))
     kind = "dims int, part int, grp int, kind int, width int, ids binary, data binary"
     target = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int").alias("target")
     rows = vectors.select("vec_id", "dims", "v", target(parts)).mapInPandas(_packed(block, groups, 1), kind)
