@@ -165,18 +165,19 @@ def _pieces(window: int, shard_words: int):
 
 
 def _builder(window: int, shard_words: int):
-    """blob: automata of at most ``shard_words`` words of the partition's pieces."""
+    """blob: automata of at most ``shard_words`` words of each bucket's pieces."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def made(items: list) -> pd.DataFrame:
             return pd.DataFrame({"blob": [zlib.compress(pickle.dumps(Automaton(items, window)), 1)]})
 
-        held, size = [], 0
+        held, size, at = [], 0, None
         for frame in frames:
-            for item, n, body in frame.itertuples(index=False):
-                if held and size + n > shard_words:
+            for bucket, item, n, body in frame.itertuples(index=False):
+                if held and (bucket != at or size + n > shard_words):
                     yield made(held)
                     held, size = [], 0
+                at = bucket
                 held.append((item, body.split()))
                 size += n
         if held:
@@ -191,7 +192,8 @@ def automata(benchmark: DataFrame, window: int = 10, shard_words: int = 100_000)
     small_batches(items.sparkSession)
     pieces = stash(items.mapInPandas(_pieces(window, shard_words), "item string, n int, body binary"), "items")
     total = pieces.agg(F.sum("n")).first()[0] or 0
-    dealt = pieces.repartition(max(1, -(-total // shard_words)), F.xxhash64("item", "body"))
+    bucket = F.pmod(F.xxhash64("item", "body"), F.lit(max(1, -(-total // shard_words)))).alias("bucket")
+    dealt = pieces.select(bucket, "item", "n", "body").repartition("bucket").sortWithinPartitions("bucket")
     built = dealt.mapInPandas(_builder(window, shard_words), "blob binary")
     return stash(built.select(F.xxhash64("blob").alias("shard"), "blob"), "automata")
 
