@@ -38,12 +38,16 @@ def fit(docs: DataFrame, per_language: int = 400, piece_chars: int = 320, dictio
 
     The sample is the rows of smallest hashed id (of a repeated id the first piece, null ids have no part); each gives one piece of ``piece_chars`` characters, from a
     place anywhere in its text that its id hashes to. Pieces fill the dictionary in the order of the hash, and
-    400 of them fit it at two bytes a character. The partial limit of the ranking keeps a language that
-    holds most rows from meeting in one task.
+    400 of them fit it at two bytes a character.
     """
     labelled = pick(docs, "doc_id", "lang", "text").where("lang is not null and text is not null and length(text) > 0")
+    share = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
+    # smallest hashes lie under a bound that eight times as many are expected to reach: the rest need not be ranked
+    bounds = [(lang, -(1 << 63) + min((1 << 64) - 1, (8 * per_language << 64) // n)) for lang, n in share.items()]
+    near = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where("doc_id is not null").select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    ids = labelled.where("doc_id is not null").select("lang", "doc_id").join(near, "lang").where(F.xxhash64("doc_id") <= F.col("most")).select("lang", "doc_id").distinct()
+    ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
     chosen = labelled.join(F.broadcast(ids.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi")
     start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - piece_chars + 1)) + 1
     chosen = chosen.select("lang", "doc_id", F.substring("text", start, F.lit(piece_chars)).alias("piece"))
@@ -54,7 +58,6 @@ def fit(docs: DataFrame, per_language: int = 400, piece_chars: int = 320, dictio
         body = made.setdefault(lang, bytearray())
         if len(body) < dictionary_bytes:
             body += plain(piece)[: dictionary_bytes - len(body)] + b"\n"
-    share = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
     return {lang: bytes(made[lang]) for lang in sorted(made, key=lambda x: (-share[x], x))}
 
 
