@@ -162,6 +162,9 @@ mr AS (SELECT qid, skill, conf, pos, rank FROM tp WHERE (top >= 0.85 AND (rank =
 _LEDGER = """li AS (SELECT * FROM lineitem), tl AS (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n FROM li GROUP BY 1),
 cl AS (SELECT o_orderkey AS id, unnest([0, 1, 2]) AS pos, unnest([round(o_totalprice, 2), q, n]) AS value, unnest(['CNY', 'COUNT', 'COUNT']) AS unit FROM orders JOIN tl ON o_orderkey = l_orderkey)"""
 
+_CONTACT = chunking.CONTACT.replace(r"(?<!\d)", r"(?:^|\D)").replace(r"(?!\d)", r"(?:\D|$)")  # the same texts match
+_HITS = lambda words: f"len(list_filter({list(words)}, lambda w: contains(text, w)))"
+
 PLANS = {
     "structure_chunks": (chunk_sizes, None),
     "html_blocks": (html_counts, None),
@@ -173,7 +176,14 @@ PLANS = {
         titled_segments,
         f"WITH {_BLOCKS}, sg AS (SELECT *, sum(title) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seg FROM bl) SELECT doc_id, CAST(seg AS BIGINT) AS seg, count(*) AS n, string_agg(content, chr(10) ORDER BY pos) AS text FROM sg GROUP BY ALL",
     ),
-    "denoise_blocks": (denoised, None),
+    "denoise_blocks": (
+        denoised,
+        f"""WITH {_BLOCKS}, ln AS (SELECT doc_id, pos // 5 AS page, pos, trim(content) AS line FROM bl), pg AS (SELECT doc_id, count(DISTINCT page) AS pages FROM ln GROUP BY doc_id),
+        often AS (SELECT doc_id, line FROM ln JOIN pg USING (doc_id) GROUP BY doc_id, line, pages HAVING count(DISTINCT page) >= greatest(3, floor(pages * 0.5))),
+        kept AS (SELECT * FROM ln ANTI JOIN often USING (doc_id, line) WHERE NOT (regexp_matches(line, '{chunking.PAGE_NUMBER}') OR regexp_matches(line, '{chunking.WATERMARK}') OR (length(line) <= 60 AND regexp_matches(line, '{_CONTACT}')))),
+        one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS n FROM kept)
+        SELECT doc_id, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM one WHERE n = 1 OR length(line) >= 200 GROUP BY doc_id""",
+    ),
     "clause_chunks": (
         clauses,
         """WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS c FROM documents), n AS (SELECT doc_id, length(c) AS n FROM l WHERE c != '')
@@ -222,7 +232,14 @@ PLANS = {
         doc_replace,
         "SELECT source, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS version, count(*) AS n FROM documents WHERE doc_id % 7 != 0 GROUP BY ALL",
     ),
-    "message_classes": (message_kinds, None),
+    "message_classes": (
+        message_kinds,
+        rf"""WITH c AS (SELECT text, {_HITS(T.COMPLAINTS)} AS hits, {_HITS(T.MOODS)} AS moods FROM conversations),
+        k AS (SELECT CASE WHEN length(trim(text)) <= 20 AND regexp_matches(lower(trim(text)), '^(hi|hello|thanks)[!. ]*$') THEN 'chat' WHEN hits >= 1 THEN 'complaint'
+          WHEN regexp_matches(text, '(?i)\b(delete|remove)\b') OR regexp_matches(text, '(?i)\blist\b') THEN 'operation' ELSE 'consult' END AS message_type,
+          CASE WHEN hits >= 2 AND regexp_matches(text, '[!！]|气死|忍无可忍|骗子|12315|赔偿') THEN 'angry' WHEN hits >= 2 OR moods > 0 THEN 'upset' ELSE 'calm' END AS mood FROM c)
+        SELECT message_type, CASE WHEN message_type = 'complaint' THEN mood ELSE 'calm' END AS sentiment, count(*) AS n FROM k GROUP BY ALL""",
+    ),
     "text_functions": (
         text_functions,
         r"""SELECT conv_id, turn, regexp_matches(text, '未找到|无法回答|相关度过低|不匹配|换一种表述|无法确认|未提及') AS refused, len(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) AS numbers,

@@ -12,7 +12,7 @@ from ..operators import evaluate, flow, fusion, graph, guards, images, routing,
 from ..operators.search import ranked
 from ..session import table
 from ..sources import store
-from . import corpus, retrieval
+from . import analytics, corpus, retrieval
 from ._sql import BM25, OVERLAP, QRELS, words
 
 
@@ -140,6 +140,15 @@ def semantic_density(spark, d) -> DataFrame:
     return out.select("qid", "relevance", "coverage", F.round(0.5 * F.col("relevance") + 0.3 * F.col("coverage") + 0.2, 6).alias("confidence"), (F.col("strong") < 3).alias("rewrite"))
 
 
+# evidence, then the answer that stands in for a generated one, with its checks
+_ANSWERED = f"""{BM25}, h AS (SELECT qid, source, text, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, score FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 10),
+        g AS (SELECT qid, source, min(rank) AS seen, max(score) AS score, substr(string_agg(text, chr(10) || chr(10) ORDER BY rank), 1, 800) AS body FROM h GROUP BY ALL),
+        e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seen, source) AS place FROM g) WHERE place <= 5),
+        an AS (SELECT qid, max(CASE WHEN place = 1 THEN body END) AS answer, string_agg(body, chr(10) ORDER BY place) AS context, max(score) AS top FROM e GROUP BY qid),
+        fa AS (SELECT *, len({analytics._NUMS.format('answer')}) = 0 OR len({analytics._NUMS.format('context')}) = 0 OR len(list_filter({analytics._NUMS.format('answer')}, lambda x: NOT list_contains({analytics._NUMS.format('context')}, x))) = 0 AS numbers_ok,
+          CASE WHEN len({analytics._a}) = 0 OR len({analytics._c}) = 0 THEN 0 ELSE len(list_intersect({analytics._a}, {analytics._c})) / len({analytics._a}) END AS words FROM an),
+        gu AS (SELECT *, round(CASE WHEN numbers_ok THEN words ELSE 0 END, 4) AS faith, regexp_matches(answer, '{T.REFUSAL}') AS says_no FROM fa)"""
+
 PLANS = {
     "ask_evidence": (
         lambda s, d: evidence(s, d).select("qid", "doc_id", "place", "score", "level"),
@@ -147,8 +156,14 @@ PLANS = {
         g AS (SELECT qid, source AS doc_id, min(rank) AS seen, max(score) AS score FROM h GROUP BY ALL)
         SELECT qid, doc_id, place, score, 2 AS level FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seen, doc_id) AS place FROM g) WHERE place <= 5""",
     ),
-    "guarded_answers": (lambda s, d: answered(s, d).select("qid", "faith", "confidence", "refused"), None),
-    "answer_events": (lambda s, d: flow.event_rows(answered(s, d)).groupBy("type").agg(F.count("*").alias("n")), None),
+    "guarded_answers": (
+        lambda s, d: answered(s, d).select("qid", "faith", "confidence", "refused"),
+        f"WITH {_ANSWERED} SELECT qid, faith, round(0.6 * faith + 0.4 * least(greatest(top, 0), 1), 4) AS confidence, faith < 0.6 OR says_no AS refused FROM gu",
+    ),
+    "answer_events": (
+        lambda s, d: flow.event_rows(answered(s, d)).groupBy("type").agg(F.count("*").alias("n")),
+        f"WITH {_ANSWERED}, n AS (SELECT count(*) AS n, CAST(sum(greatest(ceil(length(answer) / 40), 1)) AS BIGINT) AS d FROM gu) SELECT 'meta' AS type, n FROM n UNION ALL SELECT 'sources', n FROM n UNION ALL SELECT 'delta', d FROM n UNION ALL SELECT 'done', n FROM n",
+    ),
     "routed_evidence": (
         lambda s, d: flow.route_and_ask(
             corpus.asked(s, d), retrieval.chunks(s, d), corpus.lexicon(s), s.createDataFrame([("policy", "src1"), ("tech", "src2"), ("service", "src3"), ("faq", "src4"), ("legal", "src5"), ("direct", "src6")], ["skill", "kb"]), index=retrieval.index(s, d)
@@ -166,7 +181,12 @@ PLANS = {
         degradation,
         "SELECT user_id AS qid, max(event_id % 4) AS level, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS stages FROM events GROUP BY user_id",
     ),
-    "bad_case_classes": (bad_cases, None),
+    "bad_case_classes": (
+        bad_cases,
+        f"""WITH {_ANSWERED}, {QRELS}, f AS (SELECT bm.qid, min(rank) AS first FROM bm JOIN qrels USING (qid, chunk_id) GROUP BY bm.qid),
+        k AS (SELECT CASE WHEN first IS NULL THEN 'no_recall' WHEN says_no THEN 'false_refusal' WHEN NOT numbers_ok THEN 'number_rewritten' WHEN first > 2 THEN 'low_rank' WHEN length(answer) >= 800 THEN 'context_truncated' ELSE 'fine' END AS kind FROM gu LEFT JOIN f USING (qid))
+        SELECT kind, count(*) AS n FROM k GROUP BY kind""",
+    ),
     "preguard_grid": (
         preguard,
         f"WITH {OVERLAP}, t AS (SELECT qid, max(score) AS top FROM ov GROUP BY qid), g AS (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS theta) SELECT theta, count(*) FILTER (WHERE top < theta) AS refused, count(*) AS asked FROM t, g GROUP BY theta",
