@@ -22,8 +22,8 @@ def ranked(df: DataFrame, k: int | None, *order, by=("qid",), name: str = "rank"
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """(id, token, tf, dl): texts are dealt by id once, so counting and later sums per id need no second shuffle."""
-    held = chunks.select(id_col, T.tokens(F.col(text_col)).alias("w")).repartition(id_col)
+    """(id, token, tf, dl): texts are dealt by id once, before they are cut, so counting and later sums per id need no second shuffle."""
+    held = chunks.select(id_col, text_col).repartition(id_col).select(id_col, T.tokens(F.col(text_col)).alias("w"))
     rows = held.select(id_col, F.size("w").cast("long").alias("dl"), F.explode("w").alias("token"))
     return rows.groupBy(id_col, "dl", "token").agg(F.count("*").alias("tf")).select(id_col, "token", "tf", "dl")
 
@@ -54,7 +54,9 @@ def index(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None
     """The index of chunks; ``keep`` (frame, name) writes each of its tables, of which the later come from the first."""
     keep = keep or (lambda df, name: df)
     posts = keep(postings(chunks), "postings")
-    return Index(posts, keep(corpus_stats(doc_lengths(chunks)), "stats"), keep(document_frequencies(posts), "frequencies"))
+    size = chunks.agg(F.count("*").alias("n")).crossJoin(posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))  # one row each
+    stats = size.select("n", F.coalesce(F.try_divide("total", "n"), F.lit(1.0)).alias("avgdl"))
+    return Index(posts, keep(stats, "stats"), keep(document_frequencies(posts), "frequencies"))
 
 
 def idf(n, df):
