@@ -83,12 +83,14 @@ _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul,
 _UNARY = {ast.UAdd: operator.pos, ast.USub: operator.neg}
 
 
-def evaluate(source: str | None, longest: int = 500, exponent: int = 64) -> float | None:
-    """Value of an arithmetic expression over number literals; None for anything else, division by zero included."""
+def evaluate(source: str | None, longest: int = 500, exponent: int = 64, names: dict[str, float] | None = None) -> float | None:
+    """Value of an arithmetic expression over number literals and ``names``; None for anything else, division by zero included."""
 
     def value(node: ast.AST) -> float:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
             return node.value
+        if isinstance(node, ast.Name) and names and node.id in names:
+            return float(names[node.id])
         if isinstance(node, ast.UnaryOp) and type(node.op) in _UNARY:
             return _UNARY[type(node.op)](value(node.operand))
         if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
@@ -107,12 +109,21 @@ def evaluate(source: str | None, longest: int = 500, exponent: int = 64) -> floa
         return None
 
 
-def safe_arithmetic(text: Column) -> Column:
+def safe_arithmetic(text: Column, names: Column | None = None) -> Column:
+    """Values of expressions; ``names`` is a map<string, double> of what their variables stand for."""
+    if names is None:
+
+        @pandas_udf("double")
+        def of(texts: pd.Series) -> pd.Series:
+            return pd.Series([evaluate(t) for t in texts], dtype="float64")
+
+        return of(text)
+
     @pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([evaluate(t) for t in texts], dtype="float64")
+    def with_names(texts: pd.Series, maps: pd.Series) -> pd.Series:
+        return pd.Series([evaluate(t, names=dict(m) if m is not None else None) for t, m in zip(texts, maps)], dtype="float64")
 
-    return of(text)
+    return with_names(text, names)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -63,8 +63,11 @@ def test_claims_and_numerals():
     assert N.claims(None) == []
 
 
-def test_safe_arithmetic():
+def test_safe_arithmetic(spark):
     assert N.evaluate("(1 + 2) * 3 / 2 - -1") == 5.5
+    assert N.evaluate("(a - b) / b", names={"a": 3, "b": 2}) == 0.5 and N.evaluate("a + c", names={"a": 1}) is None
+    named = F.map_from_arrays(F.array(F.lit("a")), F.array(F.lit(4.0)))
+    assert one(spark, N.safe_arithmetic(F.lit("a * 2"), named), N.safe_arithmetic(F.lit("a * 2"))) == (8.0, None)
     assert [N.evaluate(x) for x in ("1/0", "2**100", "__import__('os')", "a+1", "", None, "1+", "'a'*3", "9" * 600)] == [None] * 9
 
 
@@ -165,7 +168,16 @@ def test_parsers(spark):
     docx = archive({"word/document.xml": f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>text</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'})
     assert [(b[2], b[3], b[4]) for b in parsers.parse_docx(docx)] == [("title", "Top", 2), ("paragraph", "text", None), ("paragraph", "c", None)]
     xlsx = archive({"xl/workbook.xml": '<workbook><sheets><sheet name="S"/></sheets></workbook>', "xl/sharedStrings.xml": "<sst><si><t>k</t></si></sst>", "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c t="s"><v>0</v></c><c><v>5</v></c></row><row/></sheetData></worksheet>'})
-    assert parsers.parse_xlsx(xlsx)[0][3] == "## 工作表：S\nk | 5"
+    assert parsers.parse_xlsx(xlsx)[0][3] == "## 工作表：S\n\nk | 5"
+    gaps = archive({
+        "xl/workbook.xml": '<workbook xmlns:r="x"><sheets><sheet name="B" r:id="r2"/><sheet name="A" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c r="A1"><v>1</v></c><c r="C1"><v>3</v></c></row><row><c r="B2"><v>2</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/sheet2.xml": '<worksheet><sheetData><row><c r="AB1"><v>28</v></c></row></sheetData></worksheet>',
+    })
+    second, first = parsers.parse_xlsx(gaps)
+    assert first[3] == "## 工作表：A\n\n1 |  | 3\n | 2 | " and first[5] == [["1", "", "3"], ["", "2", ""]]
+    assert second[3].startswith("## 工作表：B") and second[5][0] == [""] * 27 + ["28"]
     pptx = archive({"ppt/slides/slide1.xml": '<p:sld xmlns:p="p" xmlns:a="a"><p:sp><p:ph type="title"/><a:p><a:t>T</a:t></a:p></p:sp><p:sp><a:p><a:t>body</a:t></a:p></p:sp></p:sld>'})
     assert [(b[2], b[3]) for b in parsers.parse_pptx(pptx)] == [("title", "T"), ("paragraph", "body")]
     df = spark.createDataFrame([(bytearray(docx), "docx"), (bytearray(b"bad"), "xlsx"), (None, "pptx"), (bytearray(b"x"), "exe")], "c binary, k string")
