@@ -52,12 +52,12 @@ def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def history(rows: DataFrame) -> DataFrame:
     """(dim, key, n): counts by level, route, kb and day, and of all rows, in one pass of grouping sets."""
-    rows.createOrReplaceTempView("_history_rows")
-    return rows.sparkSession.sql(
-        """SELECT CASE grouping_id(level, route, kb, day) WHEN 7 THEN 'level' WHEN 11 THEN 'route' WHEN 13 THEN 'kb' WHEN 14 THEN 'day' ELSE 'all' END AS dim,
-                  coalesce(cast(level AS string), route, cast(kb AS string), cast(day AS string)) AS key, count(*) AS n
-           FROM _history_rows GROUP BY level, route, kb, day GROUPING SETS ((level), (route), (kb), (day), ())"""
-    )
+    dims = ["level", "route", "kb", "day"]
+    counted = rows.groupingSets([*[[F.col(c)] for c in dims], []], *dims).agg(F.grouping_id(*dims).alias("of"), F.count("*").alias("n"))
+    dim = F.lit("all")
+    for k, c in enumerate(dims):
+        dim = F.when(F.col("of") == 15 - (8 >> k), c).otherwise(dim)
+    return counted.select(dim.alias("dim"), F.coalesce(*[F.col(c).cast("string") for c in dims]).alias("key"), "n")
 
 
 def zero_filled(domain: DataFrame, counts: DataFrame, key: str) -> DataFrame:
