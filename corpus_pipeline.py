@@ -5,13 +5,12 @@ Each stage takes what the one before kept, written as Parquet and read again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontam, langid, linededup, packing, simhash
-from corvane.llm._common import scratch_folder, table
+from corvane.llm._common import drop_stash, stash, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +48,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{scratch_folder(spark).rstrip('/')}/corvane/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(path)
+    for name, stage in STAGES:
+        made = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_stash(docs)  # what the stage before wrote is not read again
+        docs = made
     return docs
