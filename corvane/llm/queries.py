@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, licenses, linededup, packing, simhash, suffix, topk, toxicity, urlfilter
+from . import changepoints, decontam, infill, langid, licenses, linededup, packing, simhash, suffix, tokencount, topk, toxicity, urlfilter
 from ._common import table
 
 
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_benchmark_decontamination": lambda spark, d: decontam.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op9_url_filter": lambda spark, d: urlfilter.digest(table(spark, d, "pages")),
         "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op11_token_counts": lambda spark, d: tokencount.digest(table(spark, d, "documents")),
+        "op12_fill_in_middle": lambda spark, d: infill.digest(table(spark, d, "documents")),
+        "op13_change_points": lambda spark, d: changepoints.digest(table(spark, d, "sale_lines")),
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": linededup.DIGEST_SQL,
         "op8_benchmark_decontamination": decontam.DIGEST_SQL,
         "op9_url_filter": urlfilter.digest_sql(),
+        "op12_fill_in_middle": infill.DIGEST_SQL,
+        "op13_change_points": changepoints.DIGEST_SQL,
     }
