@@ -123,24 +123,6 @@ def reduce_redundancy(pool: DataFrame, per_doc: int, threshold: float) -> DataFr
     return pool.groupBy("qid").applyInPandas(run, "qid long, chunk_id long, place long")
 
 
-def near_duplicate_questions(questions: DataFrame, low: float = 0.9) -> DataFrame:
-    """(a, b, ratio) of questions of one kb whose matching-blocks ratio lies in (low, 1)."""
-    from difflib import SequenceMatcher
-
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(x, y)], dtype="float64")
-
-    a = questions.select("kb", F.col("qid").alias("a"), F.col("query").alias("qa"))
-    b = questions.select("kb", F.col("qid").alias("b"), F.col("query").alias("qb"))
-    # the ratio cannot exceed 2 shortest / (sum of lengths): cheap before the Python function
-    la, lb = F.length("qa"), F.length("qb")
-    pairs = a.join(b, "kb").where("a < b and qa != qb").where(2 * F.least(la, lb) > low * (la + lb))
-    return pairs.withColumn("ratio", ratio("qa", "qb")).where((F.col("ratio") > low) & (F.col("ratio") < 1)).select("a", "b", "ratio")
-
-
 def contexts(hits: DataFrame, top_k: int, body: int = 800, display: int = 200) -> DataFrame:
     """One row per query and document of the first 2 top_k hits, in first-seen order: score, body, shown text, label."""
     first = hits.where(F.col("rank") <= 2 * top_k)

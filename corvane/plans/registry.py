@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, corpus, flows, retrieval, service
+from . import analytics, corpus, evalsets, flows, retrieval, service
 
-PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS, **flows.PLANS, **service.PLANS}
+PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS, **flows.PLANS, **service.PLANS, **evalsets.PLANS}
 
 
 def queries() -> dict:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps"
+).split()
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -64,5 +67,19 @@ def written(df: DataFrame, label: str, key: tuple | None = None) -> DataFrame:
 
 
 def version(df: DataFrame) -> tuple:
-    """What a table read from files was read from: part of the key of what is derived from it."""
-    return tuple(sorted(df.inputFiles()))
+    """What a table read from files was read from: each file's name, length and time of its last change.
+
+    It is part of the key of what is derived from the table, so that a table written anew at the same place is read anew.
+    Folders are listed once each.
+    """
+    spark = df.sparkSession
+    files = set(df.inputFiles())
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for folder in sorted({f.rpartition("/")[0] for f in files}):
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(folder))
+        for status in at.getFileSystem(conf).listStatus(at):
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    names = {unquote(f.partition(":")[2].lstrip("/")) for f in files}
+    return tuple(sorted(f for f in found if unquote(f[0].partition(":")[2].lstrip("/")) in names))

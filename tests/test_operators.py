@@ -101,12 +101,6 @@ def test_redundancy_is_greedy(spark):
     assert [r.chunk_id for r in got.orderBy("place").collect()] == [0, 2, 3]
 
 
-def test_near_questions(spark):
-    rows = [("k", 1, "how do I get a refund"), ("k", 2, "how do I get my refund"), ("k", 3, "something else"), ("x", 4, "how do I get a refund")]
-    got = fusion.near_duplicate_questions(spark.createDataFrame(rows, ["kb", "qid", "query"]), 0.85).collect()
-    assert [(r.a, r.b) for r in got] == [(1, 2)]
-
-
 def test_parents_and_refusals(spark):
     hits = spark.createDataFrame([(1, "c1", "p1", "child"), (1, "c2", None, "alone")], "qid long, chunk_id string, parent_id string, content string")
     parents = spark.createDataFrame([("p1", "whole text")], ["chunk_id", "content"])
