@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from urllib.parse import unquote
@@ -38,6 +39,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 _local: dict[str, str] = {}
 _kept: dict[tuple, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,13 +55,31 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[app]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, deleted when Python ends if the session still runs then."""
+    path = f"{shared_folder(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is not None:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session is gone; the folder's owner cleans it
+            return
+
+
 def written(df: DataFrame, label: str, key: tuple | None = None) -> DataFrame:
     """``df`` as a Parquet table of the shared folder; one table for each ``key`` and application, made when first asked for."""
     spark = df.sparkSession
     key = (spark.sparkContext.applicationId, label, key)
     path = _kept.get(key) if key[2] is not None else None
     if path is None:
-        path = f"{shared_folder(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+        path = scratch_path(spark, label)
         df.write.parquet(path)
         if key[2] is not None:
             _kept[key] = path
