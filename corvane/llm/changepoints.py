@@ -2,10 +2,10 @@
 
 Rows are summed by key and day first, so that a key's series is as long as its days, however many rows it has. A
 Python table function takes a key's days in order. It fills gaps with zeros and keeps, for every start from which a
-segment may run, the exact whole-number sums of the days since: their count, sum, sum of squares and the spread
-D = n * Q - S * S, extended for each day by Q + n * x * x - 2 * S * x as Welford's recurrence does. All starts grow
-by one vector step; the cheapest of those far enough back ends the best cutting of the days so far. At the end
-the segments are read back from the last one.
+segment may run, exact whole-number sums of the days since: their count n, sum S and sum of squares Q. A day extends
+the sums of all starts by one vector step, as Welford's recurrence does for a single one; n * Q - S * S is their spread. The
+cheapest of the starts far enough back ends the best cutting of the days so far. At the end the segments are read back from
+the last one.
 
 The cost of a segment can fall as it grows (its spread is divided by its days), so no start may be given up for good:
 all are live, and a series of d days takes d vector steps of up to d numbers and memory for a few numbers a day.
@@ -22,13 +22,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import Row
+from pyspark.sql.functions import arrow_udtf
 
 from ._common import pick
 
 RESULT = "vendor_id long, segment_no int, first_day long, n_days long, total long, spread long, cost long, n_segments long, best_cost long"
+SCHEMA = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in RESULT.split(", ")])
 SAFE = 1 << 60
 
 
@@ -36,58 +38,69 @@ def weights(spread: np.ndarray) -> np.ndarray:
     """floor(1000 * ln(spread))."""
     if spread.dtype == object:
         return np.array([math.floor(1000 * math.log(v)) for v in spread], np.int64)
-    return np.floor(1000 * np.log(spread)).astype(np.int64)
+    made = np.log(spread)
+    made *= 1000
+    return made.astype(np.int64)  # none is negative
 
 
 class Series:
     """The days of one key so far, and the best cutting of each of their beginnings.
 
-    Live starts are the first day and every day that a cutting can end before: from the ``least``-th on. They stand in
-    order, so a start's place tells its day. Cost and number of segments are one whole number, cost first.
+    Every day is a live start; those that no cutting can end before cost more than any other. Cost and number of segments are one whole
+    number, cost first, so that one minimum settles both, and its first place the earliest start.
     """
 
     ONE = 1 << 20  # more segments than a calendar has days for
+    NEVER = 1 << 62
 
     def __init__(self, least: int, penalty: int):
         self.least, self.penalty = least, penalty
         self.days: list[int] = []
         self.last: list[int] = [0]  # start of the last segment of the best cutting of the first k days
-        self.live = 0
-        self.sums = np.zeros((3, 64), np.int64)  # n, S, Q of the days since a start
-        self.spread = np.zeros(64, np.int64)  # n * Q - S * S
-        self.ahead = np.full(64, -penalty * self.ONE, np.int64)  # what the best cutting before a start costs
         self.squares = 0
-
-    def _open(self, ahead: int) -> None:
-        k = self.live
-        if k == len(self.spread):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)], axis=1)
-            self.spread = np.concatenate([self.spread, np.zeros_like(self.spread)])
-            self.ahead = np.concatenate([self.ahead, np.zeros_like(self.ahead)])
-        self.ahead[k] = ahead
-        self.live += 1
+        self.room = 0
+        self._grow(128)
+        self.ahead[0] = 1  # a cutting's first segment pays no penalty
+
+    def _grow(self, room: int) -> None:
+        """Arrays by start: S and Q of the days since, and what the best cutting before it costs; constants of how many days those are."""
+        held = self.room
+        for name in ("total", "square", "ahead"):
+            new = np.zeros(room, getattr(self, name).dtype if held else np.int64)
+            if held:
+                new[:held] = getattr(self, name)
+            setattr(self, name, new)
+        self.room = room
+        self.n = np.arange(room, 0, -1)
+        self.nn, self.n_one = self.n * self.n, self.n * self.ONE
 
     def add(self, x: int) -> None:
-        if not self.days:
-            self._open(-self.penalty * self.ONE)
         self.days.append(x)
         days = len(self.days)
+        if days >= self.room:
+            self._grow(2 * self.room)
         self.squares += x * x
-        if self.sums.dtype != object and days * self.squares >= SAFE:
-            self.sums, self.spread = self.sums.astype(object), self.spread.astype(object)
-        sums, spread = self.sums[:, : self.live], self.spread[: self.live]
-        spread += sums[2] + x * (x * sums[0] - 2 * sums[1])
-        sums += np.array([[1], [x], [x * x]], sums.dtype)
-        if days < self.least:
+        if days * self.squares >= SAFE and self.total.dtype != object:
+            self.total, self.square = self.total.astype(object), self.square.astype(object)
+        self.total[:days] += x
+        self.square[:days] += x * x
+        ready = days - self.least + 1
+        if ready < 1:
             self.last.append(0)
+            self.ahead[days] = self.NEVER
             return
-        ready = 1 + max(0, days - 2 * self.least + 1)
-        n = sums[0, :ready]
-        cost = (n * weights(1 + spread[:ready] // (n * n))).astype(np.int64)
-        cost = (cost + self.penalty) * self.ONE + self.ahead[:ready] + 1
-        at = int(cost.argmin())  # the first of the least: the earliest start
-        self.last.append(self.least + at - 1 if at else 0)
-        self._open(int(cost[at]))
+        low, high = self.room - days, self.room - self.least + 1  # here ``n`` falls from ``days`` to ``least``
+        s = self.total[:ready]
+        v = self.n[low:high] * self.square[:ready]
+        v -= s * s
+        v //= self.nn[low:high]
+        v += 1
+        cost = weights(v)
+        cost *= self.n_one[low:high]
+        cost += self.ahead[:ready]
+        best = int(cost.argmin())
+        self.last.append(best)
+        self.ahead[days] = int(cost[best]) + self.penalty * self.ONE + 1
 
     def segments(self) -> Iterator[tuple[int, int, int, int, int, int, int, int]]:
         """(number, start, n, S, V, cost, how many, best cost) from the first on."""
@@ -106,29 +119,34 @@ class Series:
 
 
 class ChangePoints:
-    """Table function over (vendor_id, day, total), a partition for each vendor, ordered by day."""
+    """Table function over (vendor_id, day, total), a partition for each vendor, ordered by day; days come in Arrow batches."""
+
+    least, penalty = 7, 20_000
 
     def __init__(self):
         self.series: Series | None = None
 
-    def eval(self, row: Row, least: int, penalty: int):
-        if self.series is None:
-            self.series = Series(least, penalty)
-            self.vendor, self.first = row["vendor_id"], row["day"]
-        for _ in range(row["day"] - self.first - len(self.series.days)):
-            self.series.add(0)
-        self.series.add(row["total"])
-
-    def terminate(self):
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        days, totals = batch.column("day").to_pylist(), batch.column("total").to_pylist()
+        if days and self.series is None:
+            self.series = Series(self.least, self.penalty)
+            self.vendor, self.first = batch.column("vendor_id")[0].as_py(), days[0]
+        for day, total in zip(days, totals):
+            for _ in range(day - self.first - len(self.series.days)):
+                self.series.add(0)
+            self.series.add(total)
+        yield from ()
+
+    def terminate(self) -> Iterator[pa.Table]:
         if self.series is not None:
-            for k, low, n, s, v, cost, many, best in self.series.segments():
-                yield self.vendor, k, self.first + low, n, s, v, cost, many, best
+            rows = [(self.vendor, k, self.first + low, *rest) for k, low, *rest in self.series.segments()]
+            yield pa.Table.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), SCHEMA.types)], schema=SCHEMA)
 
 
 def segments(daily: DataFrame, least: int = 7, penalty: int = 20_000) -> DataFrame:
     """Segments of daily totals (vendor_id, day as days since 1970, total), one row a vendor and day."""
-    cut = F.udtf(ChangePoints, returnType=RESULT)
-    return cut(pick(daily, "vendor_id", "day", "total").asTable().partitionBy("vendor_id").orderBy("day"), F.lit(least), F.lit(penalty))
+    cut = arrow_udtf(type("ChangePoints", (ChangePoints,), {"least": least, "penalty": penalty}), returnType=RESULT)
+    return cut(pick(daily, "vendor_id", "day", "total").asTable().partitionBy("vendor_id").orderBy("day"))
 
 
 def daily_totals(lines: DataFrame) -> DataFrame:
