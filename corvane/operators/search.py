@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,79 +88,11 @@ def without_documents(posts: DataFrame, lengths: DataFrame, removed: DataFrame,
     return posts.join(removed, id_col, "left_anti"), lengths.join(removed, id_col, "left_anti")
 
 
-def vector_scores(queries: DataFrame, chunks: DataFrame, scope: list[str], clamp: bool = True) -> DataFrame:
-    """(qid, id, score): cosine of every query with every row of equal ``scope`` columns."""
-    score = V.dot(F.col("embedding"), F.col("qvec")) if not clamp else F.greatest(V.cosine(F.col("embedding"), F.col("qvec")), F.lit(0.0))
-    return chunks.join(queries, scope).withColumn("score", F.round(score, 4 if clamp else 6))
-
-
-ASKED = 4096  # queries that a task holds at a time
-
-
-def _matrix(vectors: list) -> np.ndarray:
-    """Rows of one dimension; others are None and score nothing."""
-    return np.array(vectors, np.float64).reshape(len(vectors), -1)
-
-
-def _nearest(asked, k: int, cosine: bool, places: int):
-    """The rows of each batch that can be among a query's k best, by one matrix product for each dimension."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups: dict[int, list] = {}
-        for qid, v in asked.value:
-            groups.setdefault(len(v), []).append((qid, v))
-        held = {n: (np.array([q for q, _ in rows]), _matrix([v for _, v in rows])) for n, rows in groups.items() if n}
-        norms = {n: np.sqrt((m**2).sum(axis=1)) for n, (_, m) in held.items()}
-        least = {n: np.full(len(q), -np.inf) for n, (q, _) in held.items()}  # each query's k-th score so far
-        for frame in frames:
-            sizes = frame["embedding"].map(lambda v: 0 if v is None else len(v)).to_numpy()
-            for n, (qids, queries) in held.items():
-                part = frame[sizes == n]
-                if not len(part):
-                    continue
-                ids, rows = part["id"].to_numpy(), _matrix(part["embedding"].tolist())
-                for at in range(0, len(qids), 256):
-                    some = slice(at, at + 256)
-                    score = queries[some] @ rows.T
-                    if cosine:
-                        size = norms[n][some][:, None] * np.sqrt((rows**2).sum(axis=1))[None, :]
-                        score = np.maximum(np.divide(score, size, out=np.zeros_like(score), where=size > 0), 0.0)
-                    if len(ids) >= k:
-                        best = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-                        least[n][some] = np.maximum(least[n][some], best)
-                    q, spot = np.nonzero(score >= least[n][some][:, None] - 2 * 10.0**-places)  # ties are told apart after rounding
-                    yield pd.DataFrame({"qid": qids[some][q], "id": ids[spot], "score": score[q, spot]})
-
-    return run
-
-
 def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id", scope: list[str] | None = None, clamp: bool = True, where: str | None = None) -> DataFrame:
-    """(qid, id, rank, score): the query set against all rows, or against rows of equal ``scope`` columns.
+    """(qid, id, rank, score): the query set against all rows, or against rows of equal ``scope`` columns, by blocks."""
+    from .nearest import top_k
 
-    Without a scope the queries (integer qid and ids) go out in blocks of ``ASKED``, each a broadcast of that
-    bound, and rows are scored where they lie.
-    """
-    rows = chunks.where(where) if where else chunks
-    order = F.desc("score"), id_col
-    if scope:
-        return ranked(vector_scores(queries, rows, scope, clamp), k, *order).select("qid", id_col, "rank", "score")
-    spark, places = queries.sparkSession, 4 if clamp else 6
-    found, block = None, []
-    held = rows.select(F.col(id_col).cast("long").alias("id"), "embedding")
-
-    def answer() -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-        part = held.mapInPandas(_nearest(shared, k, clamp, places), "qid long, id long, score double")
-        return part if found is None else found.unionByName(part)
-
-    for row in queries.select("qid", "qvec").where("qid is not null and qvec is not null").toLocalIterator():
-        block.append((row["qid"], [float(x) if x is not None else float("nan") for x in row["qvec"]]))
-        if len(block) == ASKED:
-            found, block = answer(), []
-    if block or found is None:
-        found = answer()
-    rounded = found.select("qid", F.col("id").alias(id_col), F.round("score", places).alias("score"))
-    return ranked(rounded, k, *order).select("qid", id_col, "rank", "score")
+    return top_k(queries, chunks.where(where) if where else chunks, k, id_col, scope, clamp)
 
 
 def mean_vector(hits: DataFrame, k: int, dims: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vector as V
+from .nearest import block_top_k
 from .search import ranked
 
 
@@ -23,8 +23,9 @@ def session_meta(turns: DataFrame, n: int = 20) -> DataFrame:
 
 def semantic_hits(queries: DataFrame, cache: DataFrame, threshold: float = 0.92) -> DataFrame:
     """(qid, key, score): best unexpired entry of the query's scope at least ``threshold`` alike."""
-    joined = queries.join(cache, "scope").where("qid != key").withColumn("score", F.round(V.cosine(F.col("qvec"), F.col("embedding")), 6))
-    return ranked(joined.where(F.col("score") >= threshold), 1, F.desc("score"), "key").select("qid", "key", "score")
+    found = block_top_k(queries, cache, 2, "key", ["scope"], places=6)  # one of the two may be the query's own entry
+    alike = found.where((F.col("qid") != F.col("key")) & (F.col("score") >= threshold))
+    return ranked(alike, 1, F.desc("score"), "key").select("qid", "key", "score")
 
 
 def circuit_states(calls: DataFrame, key: str, ts: str, limit: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import evaluate, fusion, search, state
+from ..operators import evaluate, fusion, nearest, search, state
 from ..operators.search import ranked
 from ..session import table, version, written
 from ._sql import BM25, OVERLAP, QRELS, VECTOR, cos, words
@@ -55,6 +55,12 @@ def vector(spark, d, k: int = 20, **kw) -> DataFrame:
     return search.vector_top_k(vector_questions(spark, d), vectors(spark, d), k, **kw)
 
 
+def indexed(spark, d, k: int = 20) -> DataFrame:
+    """The same answers through the index of cells, which is written once for an application."""
+    rows = vectors(spark, d)
+    return nearest.VectorIndex(rows, key=version(rows)).top_k(vector_questions(spark, d), k)
+
+
 def qrels(spark, d) -> DataFrame:
     """Documents that hold a passage verbatim.
 
@@ -223,6 +229,7 @@ PLANS = {
         f"WITH {BM25.replace('FROM documents', chr(70) + 'ROM (SELECT * FROM documents WHERE source != ' + chr(39) + 'src0' + chr(39) + ')')} SELECT qid, chunk_id, rank, score, bm25 FROM (SELECT qid, chunk_id, rank, round(raw / max(raw) OVER (PARTITION BY qid), 4) AS score, raw AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY raw DESC, chunk_id) AS rank FROM raws WHERE raw > 0)) WHERE rank <= 5",
     ),
     "vector_topk": (vector, f"WITH {VECTOR} SELECT qid, chunk_id, rank, score FROM vk"),
+    "vector_index_topk": (indexed, f"WITH {VECTOR} SELECT qid, chunk_id, rank, score FROM vk"),
     "vector_topk_filtered": (
         lambda s, d: vector(s, d, 5, where="label = 3"),
         f"WITH {VECTOR} SELECT qid, chunk_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM vs WHERE label = 3) WHERE rank <= 5",

@@ -292,26 +292,6 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 60
 
 
-def test_vector_search_in_blocks(spark, monkeypatch):
-    import numpy as np
-
-    from corvane.operators import search
-
-    monkeypatch.setattr(search, "ASKED", 3)
-    rng = np.random.default_rng(2)
-    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)] + [(90, None), (91, [1.0, 2.0])]
-    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
-    asked = chunks.where("chunk_id % 7 = 0").selectExpr("chunk_id as qid", "embedding as qvec")
-    got = sorted(map(tuple, search.vector_top_k(asked, chunks, 5).collect()))
-    want = []
-    for q, v in rows:
-        if q % 7 == 0 and v is not None:
-            unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-300)
-            near = sorted((-round(max(float(unit(v) @ unit(w)), 0.0), 4), i) for i, w in rows if w is not None and len(w) == len(v))[:5]
-            want += [(q, i, r + 1, -s) for r, (s, i) in enumerate(near)]
-    assert got == sorted(want)
-
-
 def test_passages_are_found_by_their_rarest_inner_word(spark, tmp_path):
     from corvane.plans import retrieval
 
