@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import pick, small_batches, split_hot, stash
+from .packing import token_ids
 
 VOCABULARY = "byte_bpe_50k.json"
 BATCH_CHARS = 1 << 18  # what the library encodes at a time: its own structures take many times the text
+FAMILIAR = re.compile("[\\x00-\u024f\u2010-\u2027\u20ac]*")  # Latin letters, marks: every release of Unicode has the same classes for them
 SPACES = np.array([c.isspace() for c in map(chr, range(128))])
 NAMES = np.array([c.isalnum() for c in map(chr, range(128))])
 
@@ -46,7 +49,7 @@ def _ascii(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
 class Words:
     """A vocabulary of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, name: str, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -66,8 +69,16 @@ class Words:
         spaced = kinds == ["Split", "ByteLevel"] and set(changes) <= {"NFC", "Replace", "Lowercase"}
         self.proven = held["model"]["type"] == "BPE" and plain_added and (self.anywhere or spaced)
 
+        self.quick = token_ids(name) if self.anywhere and name == VOCABULARY else None
+
     def count(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+        """The vocabulary's ranks are read several times faster, and alike for the signs of ``FAMILIAR``; texts with others go to the library."""
+        if self.quick is None:
+            return [len(e.ids) for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = [len(self.quick(t)) if FAMILIAR.fullmatch(t) else -1 for t in texts]
+        rest = self.made.encode_batch_fast([t for t, n in zip(texts, counts) if n < 0], add_special_tokens=False)
+        rest = iter([len(e.ids) for e in rest])
+        return [next(rest) if n < 0 else n for n in counts]
 
     def marks(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Places where words begin and chunks may be spliced, the tokens before each, and all tokens."""
@@ -116,7 +127,7 @@ def reader(name: str):
     import public_tokenizers
 
     path = public_tokenizers.path(name)
-    return Pieces(path) if name.endswith(".model") else Words(path)
+    return Pieces(path) if name.endswith(".model") else Words(name, path)
 
 
 def _slices(texts: list[str]) -> Iterator[list[str]]:
