@@ -40,3 +40,26 @@ def circuit_states(calls: DataFrame, key: str, ts: str, limit: int = 5) -> DataF
 def sessions(rows: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """(key, start, end, n) of runs of rows closer than the gap."""
     return rows.groupBy(key, F.session_window(ts, f"{gap_seconds} seconds").alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def confirmations(steps: DataFrame, ttl_seconds: int = 600) -> DataFrame:
+    """(id, token, kind, outcome) of requests and confirmations (id, token, kind, ts) of operations that take two steps.
+
+    A confirmation belongs to the token's last request before it, or at the same time. The first one within the time to live is done, later ones are
+    repeated, one after it is expired, one without a request unknown. A request is confirmed, replaced by the next one
+    within its time, or lapsed. Steps of one time are taken requests first, then by id.
+    """
+    order = Window.partitionBy("token").orderBy("ts", F.col("kind") != "request", "id")
+    request = F.col("kind") == "request"
+    rows = steps.where("token is not null and ts is not null and kind in ('request', 'confirm')").withColumn("_turn", F.sum(request.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    turn = Window.partitionBy("token", "_turn").orderBy("ts", F.col("kind") != "request", "id")
+    asked = F.when(F.col("_turn") > 0, F.first("ts").over(turn))
+    place = F.row_number().over(turn)
+    next_ = F.lead("ts").over(turn)  # the turn's first confirmation, seen from the request
+    until = F.make_dt_interval(secs=F.lit(ttl_seconds))
+    rows = rows.withColumns({"_asked": asked, "_place": place, "_next": next_})
+    later = F.min(F.when(request, F.col("ts"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("_later", later)
+    answer = F.when(F.col("_turn") == 0, "unknown").when(F.col("ts") > F.col("_asked") + until, "expired").when(F.col("_place") == 2, "done").otherwise("repeated")
+    fate = F.when(F.col("_next") <= F.col("ts") + until, "confirmed").when(F.col("_later") <= F.col("ts") + until, "replaced").otherwise("lapsed")
+    return rows.select("id", "token", "kind", F.when(request, fate).otherwise(answer).alias("outcome"))

@@ -141,6 +141,18 @@ def store_gap(spark, d) -> DataFrame:
     return store.count_gap(a, b)
 
 
+def quantile_windows(spark, d) -> DataFrame:
+    """Quantiles and share of errors of every six hours, each hour anew."""
+    return stats.sliding_quantiles(log(spark, d), "created_at", ["kb"], "latency", BOUNDS, "6 hours", "1 hour", F.col("route") == "error", p50=0.5, p95=0.95)
+
+
+def two_steps(spark, d) -> DataFrame:
+    """Views as requests and purchases as confirmations, within six hours."""
+    e = table(spark, d, "events").where("event_type in ('view', 'purchase')")
+    steps = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("token"), F.when(F.col("event_type") == "view", "request").otherwise("confirm").alias("kind"), "ts")
+    return state.confirmations(steps, 6 * 3600)
+
+
 _LOG = "lg AS (SELECT event_id, ts AS created_at, user_id % 10 AS kb, event_type AS route, event_id % 4 AS level, value AS latency, CAST(props->>'$.k' AS BIGINT) AS tokens FROM events)"
 _EVEN = "round(list_sort(list(latency))[CAST(round_even({q} * (count(*) - 1), 0) AS BIGINT) + 1], 2)"
 _WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
@@ -190,6 +202,24 @@ PLANS = {
         lambda s, d: stats.sliding_counts(log(s, d), "created_at", "route", "6 hours", "3 hours"),
         f"WITH {_LOG}, w AS (SELECT route, unnest([time_bucket(INTERVAL 3 HOURS, created_at), time_bucket(INTERVAL 3 HOURS, created_at) - INTERVAL 3 HOURS]) AS start FROM lg) SELECT start, route, count(*) AS n FROM w GROUP BY ALL",
     ),
+    "sliding_quantiles": (
+        quantile_windows,
+        f"""WITH {_LOG}, w AS (SELECT kb, latency, route, time_bucket(INTERVAL 1 HOUR, created_at) - INTERVAL 1 HOUR * unnest(range(6)) AS start FROM lg),
+        g AS (SELECT start, kb, count(*) AS n, count(latency) AS total, count(*) FILTER (WHERE route = 'error') AS bad, {", ".join(f"count(*) FILTER (WHERE latency <= {b}) AS b{k}" for k, b in enumerate(BOUNDS))} FROM w GROUP BY ALL)
+        SELECT start, kb, n, {", ".join("CASE WHEN total > 0 THEN round(CASE " + " ".join(f"WHEN b{k} >= total * {q} THEN {BOUNDS[k - 1] if k else 0.0} + {b - (BOUNDS[k - 1] if k else 0.0)} * coalesce((total * {q} - {f'b{k - 1}' if k else 0}) / nullif(b{k} - {f'b{k - 1}' if k else 0}, 0), 0)" for k, b in enumerate(BOUNDS)) + f" ELSE {BOUNDS[-1]} END, 4) END AS {name}" for name, q in (("p50", 0.5), ("p95", 0.95)))},
+        round(bad / n, 4) AS error_ratio FROM g""",
+    ),
+    "two_step_confirmations": (
+        two_steps,
+        """WITH e AS (SELECT event_id AS id, user_id AS token, CASE event_type WHEN 'view' THEN 'request' ELSE 'confirm' END AS kind, ts FROM events WHERE event_type IN ('view', 'purchase') AND user_id IS NOT NULL AND ts IS NOT NULL),
+        r AS (SELECT *, kind = 'request' AS req FROM e),
+        a AS (SELECT c.id, c.token, c.ts, (SELECT max(q.ts) FROM r q WHERE q.token = c.token AND q.req AND q.ts <= c.ts) AS asked FROM r c WHERE NOT c.req),
+        b AS (SELECT *, row_number() OVER (PARTITION BY token, asked ORDER BY ts, id) AS place FROM a),
+        o AS (SELECT id, token, 'confirm' AS kind, asked, CASE WHEN asked IS NULL THEN 'unknown' WHEN ts > asked + INTERVAL 6 HOURS THEN 'expired' WHEN place = 1 THEN 'done' ELSE 'repeated' END AS outcome FROM b),
+        n AS (SELECT *, lead(ts) OVER (PARTITION BY token ORDER BY ts, id) AS later FROM r WHERE req)
+        SELECT id, token, kind, outcome FROM o UNION ALL
+        SELECT n.id, n.token, n.kind, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.token = n.token AND o.asked = n.ts AND o.outcome = 'done' AND (n.later IS NULL OR n.later > n.ts)) THEN 'confirmed' WHEN n.later <= n.ts + INTERVAL 6 HOURS THEN 'replaced' ELSE 'lapsed' END FROM n""",
+    ),
     "session_activity": (
         sessions,
         """WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -56,6 +56,66 @@ def circuit_breaker(calls: DataFrame, limit: int = 5, idle_ms: int = 86_400_000)
     return calls.groupBy("key").applyInPandasWithState(breaker(limit, idle_ms), "key string, id long, failures long, open boolean", "failures long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+STEPS = "asked long, request long, used boolean, ts array<long>, kind array<string>, id array<long>"
+
+
+def two_steps(ttl_us: int) -> Callable:
+    """Steps wait in the key's state until the watermark has passed them, and are then taken in the order of their times."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.getCurrentWatermarkMs() * 1000
+        asked, request, used, *held = state.get if state.exists else (None, None, False, [], [], [])
+        waiting, out = list(zip(*held)), []
+        for frame in [] if state.hasTimedOut else frames:
+            for row in frame.itertuples():
+                waiting.append((row.ts.value // 1000, row.kind, row.id))
+        waiting.sort(key=lambda w: (w[0], w[1] != "request", w[2]))
+        ready = [w for w in waiting if w[0] <= seen]
+        for at, kind, number in ready:
+            if kind == "request":
+                if asked is not None and not used:
+                    out.append((request, key[0], "request", "replaced" if at <= asked + ttl_us else "lapsed"))
+                asked, request, used = at, number, False
+            elif asked is None:
+                out.append((number, key[0], kind, "unknown"))
+            elif at > asked + ttl_us:
+                out.append((number, key[0], kind, "expired"))
+            else:
+                out.append((number, key[0], kind, "repeated" if used else "done"))
+                if not used:
+                    out.append((request, key[0], "request", "confirmed"))
+                used = True
+        waiting = waiting[len(ready) :]
+        if asked is not None and not used and asked + ttl_us <= seen and (not waiting or waiting[0][0] > asked + ttl_us):
+            out.append((request, key[0], "request", "lapsed"))
+            used = True  # answered for: a confirmation from now on is expired
+        due = ([waiting[0][0]] if waiting else []) + ([asked + ttl_us] if asked is not None and not used else [])
+        if not due and asked is not None and seen > asked + KEEP * ttl_us:
+            state.remove()  # a confirmation from now on is unknown
+        else:
+            state.update((asked, request, used, *map(list, zip(*waiting)))) if waiting else state.update((asked, request, used, [], [], []))
+            state.setTimeoutTimestamp(max(min(due, default=(asked or seen) + KEEP * ttl_us), seen) // 1000 + 1)
+        yield pd.DataFrame(out, columns=["id", "token", "kind", "outcome"])
+
+    return step
+
+
+KEEP = 24  # times to live after which a token is forgotten
+
+
+def confirmation_stream(steps: DataFrame, ttl_seconds: int = 600, late: str = "10 minutes") -> DataFrame:
+    """Outcomes of requests and confirmations (id, token, kind, ts) as ``state.confirmations`` gives them for a table.
+
+    A step is judged once the watermark has passed it, so the order of arrival does not matter within ``late``; steps
+    behind the watermark are dropped before they come here. A token is forgotten ``KEEP`` times to live after its last
+    request, from when its confirmations are unknown instead of expired.
+    """
+    taken = steps.where("token is not null and ts is not null and kind in ('request', 'confirm')").withWatermark("ts", late)
+    return taken.select("id", "token", "kind", "ts").groupBy("token").applyInPandasWithState(
+        two_steps(ttl_seconds * 1_000_000), "id long, token string, kind string, outcome string", STEPS, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def answer_stream(questions: DataFrame, plan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str):
     """Run a batch plan on each micro-batch of questions and write its rows as a partition of ``sink``."""
 
