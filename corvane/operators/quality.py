@@ -66,14 +66,19 @@ def labelling_progress(cases: DataFrame) -> DataFrame:
 
 
 def latency_run(requests: DataFrame, by: str, warm_up: int, order: tuple[str, ...]) -> DataFrame:
-    """(by, n, ok, failure_rate, p50, p95, worst) without the first ``warm_up`` requests; percentiles of successes only."""
-    from .search import ranked
+    """(by, n, ok, failure_rate, p50, p95, worst) without the first ``warm_up`` requests; percentiles of successes only.
 
-    rows = ranked(requests, None, *order, by=(by,), name="_nth").where(F.col("_nth") > warm_up)
-    ms = F.when(F.col("ok"), F.col("ms"))
-    rank = lambda q: F.round(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY CASE WHEN ok THEN ms END)"), 1)
-    failed = F.count(F.when(~F.col("ok"), 1))
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count(ms).alias("ok"), F.round(failed / F.count("*"), 4).alias("failure_rate"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.round(F.max(ms), 1).alias("worst"))
+    The first requests are found by a limit in each group; what comes after the last of them is then filtered where it lies.
+    """
+    from .search import ranked
+    from .stats import meet, percentile_rank
+
+    first = ranked(requests.select(by, *order), warm_up, *order, by=(by,)).groupBy(by).agg(F.max(F.struct(*order)).alias("_till"))
+    rows = meet(requests, first, [by], "left").where(F.col("_till").isNull() | (F.struct(*order) > F.col("_till")))
+    rows = rows.withColumn("_ms", F.when(F.col("ok"), F.col("ms")))
+    whole = rows.groupBy(by).agg(F.count("*").alias("n"), F.count("_ms").alias("ok"), F.round(F.count_if(~F.col("ok")) / F.count("*"), 4).alias("failure_rate"), F.round(F.max("_ms"), 1).alias("worst"))
+    ranks = percentile_rank(rows, [by], "_ms", p50=0.5, p95=0.95)
+    return meet(whole, ranks, [by], "left").select(by, "n", "ok", "failure_rate", F.round("p50", 1).alias("p50"), F.round("p95", 1).alias("p95"), "worst")
 
 
 def load_report(requests: DataFrame, by: str) -> DataFrame:

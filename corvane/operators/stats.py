@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..session import written
 
 
-def _meet(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+def meet(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, null keys included."""
     renamed = b.withColumnsRenamed({c: f"_key_{c}" for c in by})
     same = F.lit(True)
@@ -35,7 +35,7 @@ def values_at(rows: DataFrame, by: list[str], value: str, positions: dict[str, C
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), spot(F.col("_n")).cast("long").alias("at")) for name, spot in positions.items()])
     here = F.filter(wanted, lambda w: (w["at"] >= F.col("_before")) & (w["at"] < F.col("_before") + F.col("_m")))
     sought = sums.select(*by, "_part", "_before", here.alias("_sought")).where(F.size("_sought") > 0)
-    near = _meet(dealt, sought, [*by, "_part"])
+    near = meet(dealt, sought, [*by, "_part"])
     last = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v"))
     hit = near.withColumn("_to", last).select(*by, "_v", "_c", "_to", F.explode("_sought").alias("w"))
     hit = hit.where((F.col("w.at") < F.col("_to")) & (F.col("w.at") >= F.col("_to") - F.col("_c")))
@@ -78,7 +78,7 @@ def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, n, p50, p95, p99 and max; groups without a value have n of 0 and nulls."""
     whole = rows.groupBy(*by).agg(F.count(value).alias("n"), F.max(value).alias("max"))
     found = percentile_rank(rows, by, value, p50=0.5, p95=0.95, p99=0.99)
-    return _meet(whole, found, by, "left").select(*by, "n", "p50", "p95", "p99", "max")
+    return meet(whole, found, by, "left").select(*by, "n", "p50", "p95", "p99", "max")
 
 
 def history(rows: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import evaluate, flow, fusion, graph, guards, images, routing, search, stats
+from ..operators import evaluate, flow, fusion, graph, guards, images, rewriting, routing, search, stats
 from ..operators.search import ranked
 from ..session import table
 from ..sources import store
@@ -130,14 +131,32 @@ def redundant_parents(spark, d) -> DataFrame:
     return out.select("chunk_id", F.length("parent_content").cast("long").alias("n"))
 
 
-def semantic_density(spark, d) -> DataFrame:
-    """Query words found in the first ten texts (coverage) and the median score (relevance) for each question."""
-    hits = retrieval.bm25(spark, d, 10)
-    texts = hits.join(retrieval.chunks(spark, d), "chunk_id").groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list(T.tokens(F.col("content"))))).alias("w"), F.round(F.median("score"), 5).alias("relevance"), F.count(F.when(F.col("score") > 0.7, 1)).alias("strong"))
-    asked = retrieval.questions(spark, d).withColumn("qw", F.filter(F.array_distinct(T.tokens(F.col("query"))), lambda x: F.length(x) >= 2))
-    cov = F.when(F.size("qw") == 0, 0.5).otherwise(F.round(F.size(F.array_intersect("qw", "w")) / F.size("qw"), 4))
-    out = asked.join(texts, "qid").withColumn("coverage", cov)
-    return out.select("qid", "relevance", "coverage", F.round(0.5 * F.col("relevance") + 0.3 * F.col("coverage") + 0.2, 6).alias("confidence"), (F.col("strong") < 3).alias("rewrite"))
+def lexical_hits(spark, d, asked: DataFrame) -> DataFrame:
+    """Lexical hits with their texts; the score stands in for the similarity of embeddings."""
+    held = retrieval.index(spark, d)
+    hits = search.bm25_top_k(asked, held.posts, held.stats, 20, dfs=held.dfs).withColumn("similarity", F.col("score"))
+    return hits.join(retrieval.chunks(spark, d).select("chunk_id", "content"), "chunk_id")
+
+
+def confidence(spark, d) -> DataFrame:
+    asked = retrieval.questions(spark, d)
+    return rewriting.judge(asked, lexical_hits(spark, d, asked)).drop("reason")
+
+
+def asked_again(spark, d) -> DataFrame:
+    """The rounds of every question."""
+    trace, _ = rewriting.self_retrieval(retrieval.questions(spark, d), lambda asked: lexical_hits(spark, d, asked))
+    return trace.select("qid", F.col("round").cast("long").alias("round"), "query", "relevance", "coverage", "need_rewrite", F.count("*").over(Window.partitionBy("qid")).alias("rounds"))
+
+
+# written from the definition: median similarity, words found in the texts, hits in all, strong hits
+_JUDGED = rf"""{BM25}, h AS (SELECT qid, rank, score, text FROM bm JOIN documents ON doc_id = chunk_id),
+        t AS (SELECT qid, count(*) AS n, count(*) FILTER (WHERE score > 0.7) AS strong, coalesce(median(score) FILTER (WHERE rank <= 10 AND text != ''), 0) AS rel, list(text) FILTER (WHERE rank <= 10) AS texts FROM h GROUP BY qid),
+        a AS (SELECT item_id AS qid, text AS query, unnest([1, 2]) AS round FROM benchmark),
+        b AS (SELECT qid, round, CASE round WHEN 1 THEN query ELSE query || ' 相关文档' END AS query FROM a),
+        w AS (SELECT *, list_filter(list_distinct(regexp_extract_all(query, '[\p{{L}}\p{{N}}]+')), lambda x: length(x) >= 2) AS ws FROM b),
+        j AS (SELECT w.qid, round, query, CASE WHEN n IS NULL THEN 0 ELSE round(rel, 6) END AS relevance, CASE WHEN n IS NULL THEN 0 WHEN len(ws) = 0 THEN 0.5 ELSE round(len(list_filter(ws, lambda x: len(list_filter(texts, lambda y: contains(y, x))) > 0)) / len(ws), 6) END AS coverage, n, strong FROM w LEFT JOIN t USING (qid)),
+        ju AS (SELECT qid, round, query, relevance, coverage, CASE WHEN n IS NULL THEN 0 ELSE round(0.5 * relevance + 0.3 * coverage + 0.2 * least(n / 10, 1), 6) END AS confidence, n IS NULL OR relevance < 0.7 OR coverage < 0.5 OR strong < 3 AS need_rewrite FROM j)"""
 
 
 # evidence, then the answer that stands in for a generated one, with its checks
@@ -232,13 +251,11 @@ PLANS = {
         """WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
         SELECT doc_id || '#' || i AS chunk_id, length(nullif(text, line)) AS n FROM l""",
     ),
-    "retrieval_confidence": (
-        semantic_density,
-        f"""WITH {BM25}, h AS (SELECT qid, score, {words('text')} AS w FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 10),
-        t AS (SELECT qid, list_distinct(flatten(list(w))) AS w, round(median(score), 5) AS relevance, count(*) FILTER (WHERE score > 0.7) AS strong FROM h GROUP BY qid),
-        a AS (SELECT item_id AS qid, list_filter(list_distinct({words('text')}), lambda x: length(x) >= 2) AS qw FROM benchmark),
-        c AS (SELECT qid, relevance, strong, CASE WHEN len(qw) = 0 THEN 0.5 ELSE round(len(list_intersect(qw, w)) / len(qw), 4) END AS coverage FROM a JOIN t USING (qid))
-        SELECT qid, relevance, coverage, round(0.5 * relevance + 0.3 * coverage + 0.2, 6) AS confidence, strong < 3 AS rewrite FROM c""",
+    "retrieval_confidence": (confidence, f"WITH {_JUDGED} SELECT qid, relevance, coverage, confidence, need_rewrite FROM ju WHERE round = 1"),
+    "self_retrieval_rounds": (
+        asked_again,
+        f"""WITH {_JUDGED} SELECT r.qid, CAST(r.round AS BIGINT) AS round, r.query, r.relevance, r.coverage, r.need_rewrite, count(*) OVER (PARTITION BY r.qid) AS rounds
+        FROM ju r JOIN ju f ON f.qid = r.qid AND f.round = 1 WHERE r.round = 1 OR (f.need_rewrite AND NOT (contains(f.query, '相关文档') OR contains(f.query, '详细信息') OR contains(f.query, '关于 ') OR contains(f.query, '的所有信息')))""",
     ),
     "newest_capacity": (
         lambda s, d: store.newest(table(s, d, "events").select("event_id", "ts"), 50, F.desc("ts"), "event_id"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, corpus, evalsets, flows, kept, retrieval, service
+from . import analytics, chunks, corpus, evalsets, flows, kept, retrieval, service
 
-PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS, **flows.PLANS, **service.PLANS, **evalsets.PLANS, **kept.PLANS}
+PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS, **flows.PLANS, **service.PLANS, **evalsets.PLANS, **kept.PLANS, **chunks.PLANS}
 
 
 def queries() -> dict:

@@ -107,13 +107,6 @@ def test_parents_and_refusals(spark):
     assert {r.chunk_id: r.parent_content for r in fusion.expand_parents(hits, parents).collect()} == {"c1": "whole text", "c2": None}
 
 
-def test_recursive_split_loses_nothing():
-    text = "一句话。" * 30 + "\n\n" + "word " * 50 + "x" * 95
-    pieces = chunking.recursive_split(text, 60)
-    assert "".join(pieces) == text and max(map(len, pieces)) <= 60
-    assert chunking.with_overlap(["abc", "def"], 2) == ["abc", "bcdef"]
-
-
 def blocks(spark, rows):
     return spark.createDataFrame(rows, "doc_id string, page_num int, pos int, type string, content string, heading_level int")
 
@@ -248,7 +241,7 @@ def test_routing_scope(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 101)], ["g", "v"])
-    assert df.groupBy("g").agg(stats.percentile_rank(0.95, "v").alias("r")).first().r == 95.0
+    assert stats.percentile_rank(df, ["g"], "v", r=0.95).first().r == 95.0
     assert stats.percentile_even(df, ["g"], "v", e=0.95, m=0.5).collect()[0][1:] == (95.0, 51.0)
     six = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (5.0,), (6.0,), (None,)], "v double")
     assert stats.percentile_even(six, [], "v", m=0.5).collect()[0][0] == 3.0
