@@ -97,3 +97,96 @@ def test_query_against_sql(spark):
     con.register("documents", frame)
     assert sorted(map(tuple, licenses.digest(docs).collect())) == sorted(con.execute(licenses.digest_sql()).fetchall())
     assert licenses.scan_licenses(docs).columns == ["doc_id", "text", "sentence_ids", "licenses"]
+
+
+BSD_FILE = """Copyright (c) 2021, The Authors
+All rights reserved.
+
+""" + BSD3 + """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (BSD_FILE, ["BSD-3-Clause"]),
+        ("Copyright 2020 A. Firm. All rights reserved.", ["Proprietary"]),
+        ("All rights reserved.\nLicensed under the MIT License.", ["MIT"]),
+        ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]),
+        ("/* SPDX-License-Identifier: Apache-2.0 OR MIT */", ["Apache-2.0", "MIT"]),
+        ("# SPDX-License-Identifier:(GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause", ["BSD-3-Clause", "GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier: GPL-2.0-only\nAll rights reserved.", ["GPL-2.0-only"]),
+        ("SPDX-License-Identifier: Unknown-1.0", []),
+        ("SPDX-License-Identifier: MIT and more", []),
+        ("SPDX-License-Identifier", []),
+        ("Creative Commons Attribution 4.0 International", ["CC-BY-4.0"]),
+        ("Mozilla Public License Version 2.0\n==================", ["MPL-2.0"]),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n", ["Apache-2.0"]),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation.", ["GPL-2.0-only"]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_notices(text, found):
+    assert sorted(licenses.scan(text, KNOWN, licenses.RULES)[1]) == found
+
+
+def by_hand(text):
+    """The definition read off a string of atoms: at each atom the longest known run of words that ends with one."""
+    import re
+
+    norm = lambda s: " ".join(re.findall("[a-z0-9]+", re.sub("[^\\x00-\\x7f]", " ", s).lower()))
+    atoms = [norm(a).split() for a in re.split(r"[.!?;:][ \t]+|[.!?;:]?[\r\n]+", text or "")]
+    known = {tuple(norm(s).split()): name for name, s in licenses.SENTENCES}
+    spdx = {norm(x): f"spdx:{x}" for x in licenses.SPDX}
+    exceptions = {norm(x) for x in licenses.EXCEPTIONS}
+    ids, k = [], 0
+    while k < len(atoms):
+        best, took = 0, None
+        for end in range(k + 1, len(atoms) + 1) if atoms[k] else ():
+            words = tuple(w for a in atoms[k:end] for w in a)
+            if len(words) > 200:
+                break
+            if words in known and atoms[end - 1] and (took is None or len(words) > best):
+                best, took = len(words), ([known[words]], end)
+            head = " ".join(words[:3]) == "spdx license identifier"
+            if head and len(words) > 3 and (end == k + 1 or len(atoms[k]) == 3 and end == k + 2):
+                parts, left = [], " ".join(words[3:])
+                while left:
+                    hit = max((n for n in spdx if left == n or left.startswith(n + " ")), key=len, default=None)
+                    if hit is None:
+                        break
+                    parts.append(spdx[hit])
+                    left = left[len(hit) :].strip()
+                    if left.startswith("with "):
+                        hit = next((e for e in exceptions if left[5:] == e or left[5:].startswith(e + " ")), None)
+                        if hit is None:
+                            break
+                        left = left[5 + len(hit) :].strip()
+                    if left and not left.startswith(("or ", "and ")):
+                        break
+                    left = left.split(" ", 1)[1] if left else left
+                if parts and not left:
+                    took = (parts, end)
+        if took:
+            ids += took[0]
+            k = took[1]
+        else:
+            k += 1
+    return ids
+
+
+def test_scan_against_its_definition():
+    rng = random.Random(12)
+    pool = [s for _, s in licenses.SENTENCES] + ["SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0 OR GPL-2.0-or-later WITH GCC-exception-3.1", "SPDX-License-Identifier: MIT or", "Some prose", "é", "2.0", "All rights", "MIT License extra"]
+    for _ in range(300):
+        text = "".join(rng.choice(pool) + rng.choice(["\n", ". ", " ", "\n * ", "; ", "\r\n\r\n"]) for _ in range(rng.randrange(0, 7)))
+        text = text if rng.random() < 0.5 else textwrap.fill(text, 50)
+        assert KNOWN.ids(text) == by_hand(text), text
+
+
+def test_very_long_and_repeated_texts(spark):
+    text = "prose and more prose. " * 40_000 + "\nLicensed under the MIT License.\n" + "x" * 200_000
+    docs = spark.createDataFrame([(1, text, 0), (1, text, 0), (2, None, 1)], "doc_id long, text string, licenses int")
+    assert [(r.doc_id, r.licenses) for r in licenses.digest(docs).orderBy("doc_id").collect()] == [(1, "MIT"), (1, "MIT"), (2, "")]
