@@ -41,9 +41,10 @@ def fit(docs: DataFrame, per_language: int = 400, piece_chars: int = 320, dictio
     400 of them fit it at two bytes a character.
     """
     labelled = pick(docs, "doc_id", "lang", "text").where("lang is not null and text is not null and length(text) > 0")
-    share = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # as many rows as languages
-    # smallest hashes lie under a bound that eight times as many are expected to reach: the rest need not be ranked
-    bounds = [(lang, -(1 << 63) + min((1 << 64) - 1, (8 * per_language << 64) // n)) for lang, n in share.items()]
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()  # as many rows as languages
+    share = {r["lang"]: r["n"] for r in sizes}
+    # smallest hashes lie under a bound that eight times as many ids are expected to reach: the rest need not be ranked
+    bounds = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, (8 * per_language << 64) // max(1, r["ids"]))) for r in sizes]
     near = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.where("doc_id is not null").select("lang", "doc_id").join(near, "lang").where(F.xxhash64("doc_id") <= F.col("most")).select("lang", "doc_id").distinct()
