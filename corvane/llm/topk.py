@@ -129,13 +129,14 @@ def _packed(size: int, others: int, kind: int):
     their group of each part. Where a row goes depends on the row alone, so a task that runs again deals alike.
     """
 
-    def block(dims: int, target: int, rows: list) -> pd.DataFrame:
+    def block(dims: int, target: int, rows: list) -> Iterator[pd.DataFrame]:
         ids = np.array([i for i, _ in rows], "<i8").tobytes()
         data = np.array([v for _, v in rows], "<i8").reshape(len(rows), dims)
         width = 2 if np.abs(data).max(initial=0) < 1 << 15 else 8
         data = np.ascontiguousarray((data.T if kind else data).astype(f"<i{width}")).tobytes()
-        tasks = [(target, g) if kind else (g, target) for g in range(others)]
-        return pd.DataFrame([(dims, p, g, kind, width, ids, data) for p, g in tasks], columns=COLUMNS)
+        for g in range(others):  # a row at a time: the bytes are never held more than once
+            p, q = (target, g) if kind else (g, target)
+            yield pd.DataFrame([(dims, p, q, kind, width, ids, data)], columns=COLUMNS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
@@ -146,14 +147,14 @@ def _packed(size: int, others: int, kind: int):
                 rows.append((vec_id, v))
                 n += 1
                 if len(rows) == size:
-                    yield block(dims, target, held.pop((dims, target)))
+                    yield from block(dims, target, held.pop((dims, target)))
                     n -= size
                 elif n >= HELD:
                     for key, rows in held.items():
-                        yield block(*key, rows)
+                        yield from block(*key, rows)
                     held, n = {}, 0
         for key, rows in held.items():
-            yield block(*key, rows)
+            yield from block(*key, rows)
 
     return run
 
