@@ -507,7 +507,9 @@ def verified_links(members: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def verified_duplicates(docs: DataFrame, words: int = 5, radius: int = 8, variants: int = 3, least: float = 0.8) -> DataFrame:
-    """One row per document: doc_id, mark (hash of its text), component_id (smallest doc_id of its component).
+    """One row per document: doc_id, mark (hash of its text), component_id (smallest doc_id of its component), stays.
+
+    ``stays`` tells the rows with the smallest id of their component, null last, and of their marks the smallest: rows of one text.
 
     Candidates are documents joined by a near fingerprint or an equal band of minimum hashes; within a
     candidate group shingle sets are compared, so only a Jaccard similarity of ``least`` links.
@@ -535,20 +537,29 @@ def verified_duplicates(docs: DataFrame, words: int = 5, radius: int = 8, varian
     wanted = held.join(members, "sig").select("id", "mark", "sig", "root")
     texts = rows.withColumn("id", id_key).join(wanted, ["id", "mark"]).groupBy("sig", "root").agg(F.first("text").alias("text"))
     stars = star_components(verified_links(texts, words, least))
-    classes = marked.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    classes = marked.groupBy("sig").agg(F.min(F.struct(id_key.alias("id"), "mark")).alias("first_id"), F.count("*").alias("n"))
     rooted = classes.join(stars.select(F.col("u").alias("sig"), F.col("v").alias("root")), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     named = stash(_with_smallest(stash(rooted, "rooted"), ["sig"]), "classes")
-    return split_hot(marked.select("doc_id", "mark", "sig"), named, ["sig"], "n", by=["doc_id", "mark"]).select("doc_id", "mark", "component_id")
+    found = split_hot(marked.select("doc_id", "mark", "sig"), named, ["sig"], "n", by=["doc_id", "mark"])
+    first = F.col("component_id")
+    smallest = F.when(first["id"] < (1 << 63) - 1, first["id"])
+    return found.select("doc_id", "mark", smallest.alias("component_id"), ((id_key == first["id"]) & (F.col("mark") == first["mark"])).alias("stays"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 8, variants: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id stands for the group of their text; rows without an id stay.
+    """One row of ``docs`` for each group of texts: that with the smallest doc_id, null ids last.
 
     Groups hold texts linked by 0.8 or more of common shingles, see ``verified_duplicates``: 73 of 100
     pairs at exactly 0.8 are met by the fingerprints, nearly all of the rest by a band of minimum hashes.
-    A row goes by its id and its text: another text under the id of a removed row is judged by itself.
+    A row goes by its id and its text: another text under the id of a removed row is judged by itself. Where the id and
+    text that stay are those of several rows, any one of them stays.
     """
-    found = verified_duplicates(docs, words, radius, variants)
-    others = found.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(others, (F.col("id") == F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    found = verified_duplicates(docs, words, radius, variants).withColumn("id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    counted = stash(found.groupBy("id", "mark", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1"), "gone")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("mark"), own.alias("row"))
+    kept = rows.join(counted.select("id", "mark"), ["id", "mark"], "left_anti").select("row")
+    repeated = counted.where("stays").select("id", "mark")
+    if not repeated.isEmpty():  # repeated rows whose id and text stay: one of them comes back
+        kept = kept.unionByName(rows.join(repeated, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row")).select("row"))
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -107,9 +107,11 @@ def brute_near(rows, bench):
                 group = [new if g == old else g for g in group]
     least = {}
     for g, r in zip(group, rows):
-        if r[0] is not None:
-            least[g] = min(least.get(g, r[0]), r[0])
-    return [r for g, r in zip(group, rows) if r[0] is None or r[0] == least[g]]
+        mark = 42 if r[1] is None else np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).astype(np.int64)
+        place = (r[0] is None, r[0] or 0, mark)
+        if g not in least or place < least[g][0]:
+            least[g] = (place, r)
+    return [r for _, r in least.values()]
 
 
 def brute_leaks(rows, bench):
