@@ -22,46 +22,56 @@ POWERS = {"十": 10, "百": 100, "千": 1000}
 
 TOKEN_TYPE = "array<struct<raw:string,value:double,unit:string,start:int,end:int>>"
 _longest = lambda words: "|".join(re.escape(w) for w in sorted(words, key=lambda w: -len(w)))
-_claim = re.compile(
-    rf"(?P<prefix>百分之)?(?P<num>\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?|[{''.join(DIGITS)}{''.join(POWERS)}]+)\s*(?P<scale>{_longest(SCALES)})?\s*(?P<unit>{_longest(UNITS)})?"
-)
+_NUMBER = rf"\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?|[{''.join(DIGITS)}{''.join(POWERS)}]+"
+_SPACE = r"[\s\u00a0\u3000]*"
+CLAIM = rf"(百分之)?({_NUMBER}){_SPACE}({_longest(SCALES)})?{_SPACE}({_longest(UNITS)})?"
 
 
-def chinese_number(text: str) -> float | None:
-    """Value of a numeral below ten thousand; None for other characters or no character."""
-    if not text:
-        return None
-    total = digit = 0
-    for ch in text:
-        if ch in DIGITS:
-            digit = DIGITS[ch]
-        elif ch in POWERS:
-            total, digit = total + (digit or 1) * POWERS[ch], 0
-        else:
-            return None
-    return float(total + digit)
-
-
-def claims(text: str | None) -> list[tuple]:
-    """(raw, value, unit, start, end) of the numbers in a text, scales folded in, percentages as shares."""
-    found = []
-    for m in _claim.finditer(text or ""):
-        plain = m["num"].replace(",", "")
-        base = float(plain) if plain[0].isascii() else chinese_number(plain)
-        if base is None:
-            continue
-        unit = UNITS[m["unit"]] if m["unit"] else "PERCENT" if m["prefix"] else "COUNT"
-        value = base * SCALES.get(m["scale"], 1.0) / (100 if unit == "PERCENT" else 1)
-        found.append((m[0].strip(), value, unit, m.start(), m.end()))
-    return found
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+def chinese_number(text: Column) -> Column:
+    """Value of a numeral below ten thousand; null for other characters or no character."""
+    digits, powers = {k: float(v) for k, v in DIGITS.items()}, {k: float(v) for k, v in POWERS.items()}
+
+    def step(acc: Column, sign: Column) -> Column:
+        digit, power = _looked_up(digits, sign), _looked_up(powers, sign)
+        total = F.when(power.isNotNull(), acc["total"] + F.when(acc["digit"] == 0, 1.0).otherwise(acc["digit"]) * power).otherwise(acc["total"])
+        return F.struct(total.alias("total"), F.coalesce(digit, F.lit(0.0)).alias("digit"))
+
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("digit"))
+    found = F.aggregate(F.split(text, "(?!^)(?!$)"), start, step, lambda acc: acc["total"] + acc["digit"])
+    return F.when(text.rlike(f"^[{''.join(DIGITS)}{''.join(POWERS)}]+$"), found)
 
 
 def extract_claims(text: Column) -> Column:
-    @pandas_udf(TOKEN_TYPE)
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(claims)
+    """(raw, value, unit, start, end) of the numbers in a text, scales folded in, percentages as shares.
+
+    Places come from the lengths of the matches and of what lies between them, so all of it stays in column functions.
+    """
+    text = F.coalesce(text, F.lit(""))
+    matches, between = F.regexp_extract_all(text, F.lit(CLAIM), 0), F.split(text, CLAIM, -1)
+
+    def group(m: Column, k: int) -> Column:
+        return F.regexp_extract(m, CLAIM, k)
+
+    def claim(z: Column) -> Column:
+        m, num, unit = z["m"], F.regexp_replace(group(z["m"], 2), ",", ""), group(z["m"], 4)
+        base = F.when(num.rlike("^[0-9]"), num.try_cast("double")).otherwise(chinese_number(num))
+        name = F.when(unit != "", _looked_up(UNITS, unit)).when(group(m, 1) != "", "PERCENT").otherwise("COUNT")
+        scaled = base * F.coalesce(_looked_up(SCALES, group(m, 3)), F.lit(1.0))
+        value = F.when(name == "PERCENT", scaled / 100).otherwise(scaled)
+        return F.struct(F.regexp_replace(m, r"[\s\u00a0\u3000]+$", "").alias("raw"), value.alias("value"), name.alias("unit"), z["at"].alias("start"), (z["at"] + F.length(m)).cast("int").alias("end"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,at:int>>").alias("out"))
+
+    def place(acc: Column, z: Column) -> Column:
+        at = acc["at"] + F.length(z["b"])
+        return F.struct((at + F.length(z["m"])).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(z["m"].alias("m"), at.cast("int").alias("at")))).alias("out"))
 
-    return of(text)
+    pairs = F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("b"))
+    return F.transform(F.aggregate(pairs, start, place, lambda acc: acc["out"]), claim)
 
 
 def numbers_match(a_value: Column, a_unit: Column, b_value: Column, b_unit: Column, rel: float = 0.005, absolute: float = 1e-9) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..session import written
 
 # Metric words.
 METRICS = (
@@ -107,9 +108,13 @@ def verdicts(ids: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def verify_answers(answers: DataFrame, sources: DataFrame, now: Column, rel: float = 0.005, metrics=tuple(METRICS)) -> DataFrame:
-    """(id, kind, severity) findings for answers (id, text) over sources (id, name, text, as_of, grp)."""
-    claims = claim_rows(answers, ["id"])
+    """(id, kind, severity) findings for answers (id, text) over sources (id, name, text, as_of, grp).
+
+    The claims of both sides are extracted and written once: five checks read them.
+    """
+    claims = written(claim_rows(answers, ["id"]), "claims")
     held = sources.select("id", "name", "text", F.posexplode(N.extract_claims(F.col("text"))).alias("pos", "c")).select("id", "name", "text", "pos", "c.*")
+    held = written(held, "source-claims")
     pool = held.withColumn("pos", F.row_number().over(_by_source()) - 1)
     open_ = unsupported(claims, pool, rel)
     again = recomputed(open_, pool, rel)

@@ -227,7 +227,17 @@ PLANS = {
         f"""WITH {_LEDGER}, src AS (SELECT l_orderkey AS id, unnest([round(l_extendedprice, 2), l_quantity]) AS v, unnest(['CNY', 'COUNT']) AS u FROM li)
         SELECT id, CAST(pos AS BIGINT) AS pos, value, unit FROM cl WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.id = cl.id AND u = unit AND (abs(value - v) <= 1e-9 OR abs(value - v) <= 0.005 * greatest(abs(value), abs(v))))""",
     ),
-    "answer_verdicts": (verdicts, None),
+    "answer_verdicts": (
+        verdicts,
+        f"""WITH {_LEDGER}, src AS (SELECT l_orderkey AS id, l_linenumber AS name, l_suppkey AS grp, unnest([round(l_extendedprice, 2), round(l_quantity, 0)]) AS v, unnest(['CNY', 'COUNT']) AS u FROM lineitem),
+        un AS (SELECT * FROM cl WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.id = cl.id AND u = unit AND (abs(value - v) <= 1e-9 OR abs(value - v) <= 0.005 * greatest(abs(value), abs(v))))),
+        tr AS (SELECT un.id, un.pos, value, unnest([x.v + y.v, x.v - y.v, x.v * y.v, x.v / y.v]) AS made FROM un JOIN src x ON x.id = un.id AND x.u = unit AND x.v <> 0 JOIN src y ON y.id = un.id AND y.u = unit AND y.v <> 0 AND x.name <> y.name),
+        rc AS (SELECT DISTINCT id, pos FROM tr WHERE abs(made - value) <= 0.005 * greatest(abs(made), 1e-12)),
+        cf AS (SELECT a.id, a.grp <> b.grp AS apart FROM src a JOIN src b ON a.id = b.id AND a.u = b.u AND a.name < b.name WHERE abs(a.v - b.v) > 1e-9 AND abs(a.v - b.v) > 0.005 * greatest(abs(a.v), abs(b.v))),
+        fails AS (SELECT id FROM un ANTI JOIN rc USING (id, pos) UNION SELECT id FROM cf WHERE apart),
+        warns AS (SELECT id FROM cf WHERE NOT apart UNION SELECT l_orderkey FROM lineitem WHERE l_shipdate IS NULL OR date_trunc('day', l_shipdate) < TIMESTAMP '1998-12-01' - INTERVAL 365 DAYS)
+        SELECT id, CASE WHEN id IN (SELECT id FROM fails) THEN 'fail' WHEN id IN (SELECT id FROM warns) THEN 'warn' ELSE 'pass' END AS verdict FROM (SELECT DISTINCT id FROM cl)""",
+    ),
     "document_replace": (
         doc_replace,
         "SELECT source, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS version, count(*) AS n FROM documents WHERE doc_id % 7 != 0 GROUP BY ALL",

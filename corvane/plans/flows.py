@@ -245,7 +245,11 @@ PLANS = {
         SELECT qid, chunk_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 3""",
     ),
     "image_search": (images_found, None),
-    "verdict_outcomes": (outcomes, None),
+    "verdict_outcomes": (
+        outcomes,
+        f"""WITH got AS ({corpus.PLANS["answer_verdicts"][1]}), e AS (SELECT verdict, ['fail', 'warn', 'fail_or_warn'][id % 3 + 1] AS expected FROM got)
+        SELECT expected, count(*) AS n, round(avg(CASE WHEN expected = 'fail_or_warn' THEN verdict IN ('fail', 'warn') ELSE expected = verdict END::INTEGER), 4) AS hit FROM e GROUP BY expected""",
+    ),
     "parent_expansion": (
         redundant_parents,
         """WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
