@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, chunks, corpus, evalsets, flows, kept, reports, retrieval, service
+from . import analytics, chunks, corpus, evalsets, flows, ingest, kept, reports, retrieval, service
 
-PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS, **flows.PLANS, **service.PLANS, **evalsets.PLANS, **kept.PLANS, **chunks.PLANS, **reports.PLANS}
+PLANS = {**retrieval.PLANS, **analytics.PLANS, **corpus.PLANS, **flows.PLANS, **service.PLANS, **evalsets.PLANS, **kept.PLANS, **chunks.PLANS, **reports.PLANS, **ingest.PLANS}
 
 
 def queries() -> dict:
