@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import written
 from .search import document_frequencies, ranked
 
 # What counts as a year in a text.
@@ -117,17 +118,12 @@ def golden_chunks(questions: DataFrame, chunks: DataFrame, posts: DataFrame, lea
 
 
 def _grams(text: Column, n: int) -> Column:
-    """Character n-grams with the number of their occurrence, so that a multiset is a set."""
+    """Character n-grams with the number of their occurrence, so that a multiset is a set: as strings, the number first."""
     size = F.length(text)
     all_ = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
-    sorted_ = F.array_sort(F.when(size >= n, all_).otherwise(F.array().cast("array<string>")))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("k"), F.array().cast("array<struct<gram:string,k:int>>").alias("out"))
-
-    def step(acc: Column, g: Column) -> Column:
-        k = F.when(acc["last"] == g, acc["k"] + 1).otherwise(0)
-        return F.struct(g.alias("last"), k.alias("k"), F.concat(acc["out"], F.array(F.struct(g.alias("gram"), k.alias("k")))).alias("out"))
-
-    return F.aggregate(sorted_, start, step, lambda acc: acc["out"])
+    grams = F.when(size >= n, all_).otherwise(F.array().cast("array<string>"))
+    counted = F.transform(F.array_distinct(grams), lambda g: F.struct(g.alias("g"), F.size(F.filter(grams, lambda x: x == g)).alias("n")))
+    return F.flatten(F.transform(counted, lambda c: F.transform(F.sequence(F.lit(1), c["n"]), lambda k: F.concat(k.cast("string"), F.lit(":"), c["g"]))))
 
 
 @pandas_udf(DoubleType())
@@ -163,7 +159,8 @@ def near_duplicate_questions(questions: DataFrame, low: float = 0.9) -> DataFram
     texts = questions.where("query is not null and query <> ''").groupBy("query").agg(F.min("qid").alias("qid")).withColumn("len", F.length("query"))
     least = lambda total: F.floor(F.lit(float(rate)) * total - (n - 1) + 1e-9)  # noqa: E731  grams in common exceed this
     texts = texts.withColumn("need", least(F.ceil(F.col("len") * (1 + ratio) - 1e-9)))  # with the shortest partner
-    grams = texts.where("need >= 0").select("qid", "len", "need", F.explode(_grams(F.col("query"), n)).alias("g"))
+    texts = written(texts.where("need >= 0").withColumn("grams", _grams(F.col("query"), n)), "question-grams")
+    grams = texts.select("qid", "len", "need", F.explode("grams").alias("g"))
     counts = grams.groupBy("g").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("df", "g"))
     size = F.col("len") - (n - 1)
@@ -171,8 +168,8 @@ def near_duplicate_questions(questions: DataFrame, low: float = 0.9) -> DataFram
     a, b = prefix.select("g", F.col("qid").alias("a"), F.col("len").alias("la")), prefix.select("g", F.col("qid").alias("b"), F.col("len").alias("lb"))
     close = (F.col("lb") >= F.col("la") * ratio - 1e-9) & (F.col("la") >= F.col("lb") * ratio - 1e-9)
     met = a.join(b, "g").where(F.col("a") < F.col("b")).where(close).select("a", "b").distinct()
-    held = texts.select("qid", "query", "len")
-    pairs = met.join(held.select(F.col("qid").alias("a"), F.col("query").alias("qa")), "a").join(held.select(F.col("qid").alias("b"), F.col("query").alias("qb")), "b")
-    common = F.size(F.array_intersect(_grams(F.col("qa"), n), _grams(F.col("qb"), n)))
-    pairs = pairs.where(common > least(F.length("qa") + F.length("qb")))
+    pairs = met
+    for side in "ab":
+        pairs = pairs.join(texts.select(F.col("qid").alias(side), F.col("query").alias(f"q{side}"), F.col("grams").alias(f"g{side}")), side)
+    pairs = pairs.where(F.size(F.array_intersect("ga", "gb")) > least(F.length("qa") + F.length("qb")))
     return pairs.withColumn("ratio", F.round(matching_ratio("qa", "qb"), 6)).where((F.col("ratio") > low) & (F.col("ratio") < 1)).select("a", "b", "ratio")

@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..session import written
 from .search import ranked
 
 PNG = "89504E470D0A1A0A"
@@ -61,9 +62,10 @@ def index_images(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def search_text(queries: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
     """(qid, asset_id, score): keyword share 0.7, pseudo-vector cosine 0.3; only positive scores."""
-    words = T.coverage(T.mixed_tokens(F.col("query")), T.mixed_tokens(F.col("caption")))
-    near = F.greatest(F.lit(0.0), V.cosine(text_vector(F.col("query")), F.col("vector")))
-    pairs = index.join(queries, "kb").withColumn("score", F.round(0.7 * words + 0.3 * near, 6)).where("score > 0")
+    asked = written(queries.select("qid", "kb", T.mixed_tokens(F.col("query")).alias("_qw"), text_vector(F.col("query")).alias("_qv")), "image-questions")
+    held = written(index.select("asset_id", "kb", T.mixed_tokens(F.col("caption")).alias("_cw"), "vector"), "image-captions")
+    near = F.greatest(F.lit(0.0), V.cosine(F.col("_qv"), F.col("vector")))
+    pairs = held.join(asked, "kb").withColumn("score", F.round(0.7 * T.coverage(F.col("_qw"), F.col("_cw")) + 0.3 * near, 6)).where("score > 0")
     return ranked(pairs, k, F.desc("score"), "asset_id").select("qid", "asset_id", "score", "rank")
 
 
