@@ -3,8 +3,9 @@
 Documents become token ids plus an end id; those longer than the sequence are cut into full pieces after
 a shorter first one. Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the
 driver. The covering program over configurations is solved by multiplicative weights on the lengths, which
-price a knapsack by dynamic programming, in instalments that are rounded down as they are met; the few
-pieces that this leaves go by best fit. The plan hands ranges of each length's
+price a knapsack by dynamic programming, in instalments that are rounded down as they are met; the
+pieces that this leaves go by best fit. How much of the program survives rounding depends on how many pieces a
+length has, so several shares of it are rounded and the fewest sequences win. The plan hands ranges of each length's
 ranks to configurations, and the pieces find their place by rank.
 
 Defined cases: null text is empty and yields the end id alone. Repeated rows are packed as often as they
@@ -216,25 +217,45 @@ def best_fit(left: np.ndarray, capacity: int) -> dict[tuple, int]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, rounds: int = 60) -> list[tuple[tuple, int]]:
-    """[(configuration as ((length, count), ...), how often)] that holds every piece exactly once.
+# (instalments, share of the pieces left to best fit, the same of pieces up to an eighth of the capacity)
+ROUNDINGS = ((60, 0.1, 0.75), (10, 0.5, 1.0), (10, 0.8, 1.0))
 
-    Full configurations of the program first, what they leave by best fit. Best fit of all pieces is taken
-    instead where it needs fewer sequences, which happens with few pieces.
+
+def rounded(demand: np.ndarray, capacity: int, roundings=ROUNDINGS) -> tuple[dict[tuple, int], dict[tuple, int]]:
+    """(configurations of the program, best fit of the rest) of the rounding that needs the fewest sequences.
+
+    Among equals the one that keeps most of the program stays; a rounding that meets the bound by sizes ends
+    the search. Where every rounding needs more than best fit alone, the program's part is empty.
     """
+    bound = -(-int((demand * np.arange(capacity + 1)).sum()) // capacity)
+    best: tuple[dict[tuple, int], dict[tuple, int]] = {}, best_fit(demand, capacity)
+    fewest = sum(best[1].values())
+    for rounds, rest, rest_small in roundings if demand.any() else ():
+        program, left = solve(demand, capacity, rounds, rest=rest, rest_small=rest_small), demand.copy()
+        for config, times in program.items():
+            for x, n in config:
+                left[x] -= n * times
+        others = best_fit(left, capacity)
+        total, kept = sum(program.values()) + sum(others.values()), sum(program.values())
+        if (total, -kept) < (fewest, -sum(best[0].values())):
+            best, fewest = (program, others), total
+        if fewest == bound and best[0]:
+            break
+    return best
+
+
+def plan(histogram: dict[int, int], capacity: int = 1024, roundings=ROUNDINGS) -> list[tuple[tuple, int]]:
+    """[(configuration as ((length, count), ...), how often)] that holds every piece exactly once: full
+    pieces, configurations of the program, best fit of what they leave."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    whole = {((capacity, 1),): int(left[capacity])} if left[capacity] else {}
+    found = {((capacity, 1),): int(left[capacity])} if left[capacity] else {}
     left[capacity] = 0
-    plain = best_fit(left, capacity)
-    found = solve(left, capacity, rounds) if left.any() else {}
-    for config, times in found.items():
-        for x, n in config:
-            left[x] -= n * times
-    for config, times in best_fit(left, capacity).items():
-        found[config] = found.get(config, 0) + times
-    return sorted((whole | (found if sum(found.values()) <= sum(plain.values()) else plain)).items(), reverse=True)
+    for part in rounded(left, capacity, roundings):
+        for config, times in part.items():
+            found[config] = found.get(config, 0) + times
+    return sorted(found.items(), reverse=True)
 
 
 def ranges(planned: list[tuple[tuple, int]]) -> dict[int, list[tuple[int, int, int, int, int]]]:

@@ -207,7 +207,7 @@ def test_packing_plan_holds_every_piece():
     rng = np.random.default_rng(2)
     for lengths in (rng.integers(1, 100, 5000), rng.choice([30, 35, 51, 13, 70], 3000), np.array([100] * 7), np.array([], int)):
         counts = Counter(lengths.tolist())
-        made = packing.plan(counts, 100, rounds=10)
+        made = packing.plan(counts, 100)
         got = Counter()
         for config, times in made:
             assert sum(x * n for x, n in config) <= 100
@@ -234,6 +234,22 @@ def test_packing_program_beats_best_fit():
     assert total <= sum(packing.best_fit(demand, 1024).values()) and total <= bound + 3
 
 
+def test_packing_rounds_a_program_where_lengths_are_rare():
+    """With about two pieces a length most of the program rounds to nothing; a share of it still matches best fit."""
+    rng = np.random.default_rng(5)
+    lengths = rng.lognormal(6, 1.2, 1500).astype(int) % 1024
+    demand = np.bincount(lengths[lengths > 0], minlength=1025)
+    program, others = packing.rounded(demand, 1024)
+    used = np.zeros(1025, np.int64)
+    for config, times in [*program.items(), *others.items()]:
+        assert sum(x * n for x, n in config) <= 1024
+        for x, n in config:
+            used[x] += n * times
+    assert (used == demand).all()
+    assert sum(program.values()) + sum(others.values()) <= sum(packing.best_fit(demand, 1024).values())
+    assert sum(program.values()) > 0.1 * sum(others.values())
+
+
 def test_line_dedup_against_brute_force(spark, docs):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(lower)
