@@ -95,18 +95,21 @@ def with_columns(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
     return docs.select(*kept, *[column.alias(name) for name, column in made.items()])
 
 
-def split_hot(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, by: list[str], parts: int = 1000, salts: int = 64) -> DataFrame:
+def split_hot(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, by: list[str], parts: int = 1000, salts: int | None = 64) -> DataFrame:
     """Inner join of ``rows`` with ``facts`` (one row a key; ``n`` tells how many ``rows`` the key has), hot keys salted.
 
     A key is hot if it has over 1/``parts`` of all rows, so there are fewer than ``parts`` of them, whatever
     the input: that proven bound makes them fit a broadcast. Their rows are spread over ``salts`` values by the
-    hash of ``by`` and their one fact is repeated for each.
+    hash of ``by`` and their one fact is repeated for each. With ``salts`` None a key has as many as its rows
+    need, so that no salt holds more than about that share; all keys together have fewer than twice ``parts``.
     """
     total = facts.agg(F.sum(n)).first()[0] or 0
-    hot = facts.where(F.col(n) > max(total // parts, 10_000))
-    listed = F.broadcast(hot.select(*keys, F.lit(salts).alias("_salts")))
+    limit = max(total // parts, 10_000)
+    hot = facts.where(F.col(n) > limit)
+    many = F.lit(salts) if salts else F.ceil(F.col(n) / limit).cast("int")
+    listed = F.broadcast(hot.select(*keys, many.alias("_salts")))
     spread = rows.join(listed, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*by), F.col("_salts")).cast("int")).otherwise(0)).drop("_salts")
-    copies = F.when(F.col(n) > max(total // parts, 10_000), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col(n) > limit, F.sequence(F.lit(0), many - 1)).otherwise(F.array(F.lit(0)))
     return spread.join(facts.withColumn("_salt", F.explode(copies)), [*keys, "_salt"]).drop("_salt")
 
 

@@ -11,6 +11,9 @@ nothing is one: what is linked from a seed keeps a positive mass. Trust and dist
 all seeds, by multiplying across. A dangling host keeps its mass to itself no longer than a step: it is lost,
 as is usual for host graphs with leaves. Without a link between hosts no step is taken.
 
+Hosts of many pages, and hosts with many links, are split over salts by their counts: a page brings its id, a link
+its other end, and the host's one row is repeated for each salt.
+
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and is allowed.
 Null html has no links. Very long html is searched whole for links. Repeated rows count as often as they come; extra columns
 take no part. An empty table gives an empty result.
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_stash, pick, stash
+from ._common import drop_stash, pick, split_hot, stash
 
 # Verdict and rule (host, then path prefix).
 RULES = [
@@ -33,6 +36,7 @@ RULES = [
 ]
 UNIT = 1_000_000_000_000  # times 10**12 pages, links and damping stays within 38 digits
 KEEP, OF = 85, 100  # damping
+LINKS = 100_000  # of a host to a salt
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,13 +77,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
 
     Every second step ends in a written table, which cuts the lineage.
     """
-    weighted = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src")
-    weighted = stash(weighted, "links")
     mass = seeds.select("host", F.col("seed").alias("mass"))
     held = None
-    if weighted.limit(1).count():
+    degrees = edges.groupBy("src").agg(F.count("*").alias("degree"), F.sum("weight").alias("total"))
+    degrees = stash(degrees.withColumn("salts", F.ceil(F.col("degree") / LINKS).cast("int")), "degrees")
+    if degrees.limit(1).count():
+        links = split_hot(edges, degrees, ["src"], "degree", ["dst"], salts=None)
+        links = stash(links.select("src", "dst", "weight", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("_salt")), "links")
+        hubs = degrees.select("src", "total", "salts")
         for step in range(steps):
-            sent = weighted.join(mass, weighted["src"] == mass["host"]).select(F.col("dst").alias("host"), quotient(f"mass * {KEEP} * weight", f"total * {OF}").alias("part"))
+            spread = hubs.join(mass, hubs["src"] == mass["host"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            sent = links.join(spread, ["src", "_salt"]).select(F.col("dst").alias("host"), quotient(f"mass * {KEEP} * weight", f"total * {OF}").alias("part"))
             own = seeds.select("host", quotient(f"seed * {OF - KEEP}", f"{OF}").alias("part"))
             mass = own.unionByName(sent).groupBy("host").agg(F.sum("part").cast("decimal(38,0)").alias("mass"))
             if step % 2:
@@ -105,7 +113,7 @@ def judge_urls(pages: DataFrame, rules=RULES, steps: int = 8, threshold: int = 0
     rows = rows.withColumn("_fit", matched_rule(F.col("host"), F.col("path"), rules))
     judged = F.when(F.col("_fit.verdict") == "allow", 1), F.when(F.col("_fit.verdict") == "block", 1)
     named = rows.where("host != ''")
-    hosts = stash(named.groupBy("host").agg(F.count(judged[0]).alias("good"), F.count(judged[1]).alias("bad")), "hosts")
+    hosts = stash(rows.groupBy("host").agg(F.count("*").alias("n"), F.count(judged[0]).alias("good"), F.count(judged[1]).alias("bad")), "hosts")
     good, bad = (max(1, x or 0) for x in hosts.agg(F.sum("good"), F.sum("bad")).first())
     edges = stash(host_edges(named), "edges")
     trust = propagate(seeds_of(hosts, "good"), edges, steps).withColumnRenamed("mass", "trust")
@@ -116,7 +124,8 @@ def judge_urls(pages: DataFrame, rules=RULES, steps: int = 8, threshold: int = 0
     # distrust / bad > trust / good + threshold, in whole numbers
     above = F.expr(f"cast(distrust as decimal(38,0)) * {good} > cast(trust as decimal(38,0)) * {bad} + cast({threshold} as decimal(20,0)) * {UNIT // 1_000_000} * {good} * {bad}")
     scored = scored.withColumn("_above", above)
-    out = rows.join(scored, "host", "left").withColumns({c: F.coalesce(c, none) for c in ("trust", "distrust")})
+    facts = stash(hosts.select("host", "n").join(scored, "host", "left"), "scores")
+    out = split_hot(rows.drop("html"), facts, ["host"], "n", ["page_id"], salts=None).withColumns({c: F.coalesce(c, none) for c in ("trust", "distrust")})
     by_host = F.when(F.col("_above"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(F.col("_fit.verdict"), by_host).alias("verdict"), "trust", "distrust")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corvane.llm import decontam, langid, licenses, linededup, simhash, urlfilter
@@ -77,3 +78,19 @@ def test_mass_of_a_small_host_does_not_depend_on_the_table(spark):
         out = urlfilter.judge_urls(spark.createDataFrame(local + far, "page_id long, url string, html string"))
         got = {r.page_id: r for r in out.where("page_id between 1 and 199").collect()}
         assert {r.verdict for r in got.values()} == {"block"} and {r.distrust > 0 for r in got.values()} == {True}
+
+
+def test_hosts_of_many_pages_and_links_are_split(spark, monkeypatch):
+    """Salted hosts keep every page and link: the same rows with a salt for every three links and ten thousand pages."""
+    rows = [(k, f"https://hub.net/{k}", "".join(f'<a href="https://h{k % 40 + j}.net/">x</a>' for j in range(3))) for k in range(12_000)]
+    rows += [(20_000 + k, f"https://h{k}.net/", f'<a href="https://{"example.org" if k % 2 else "hub.net"}/es/">y</a>') for k in range(42)]
+    rows += [(30_000 + k, f"https://example.org/{'es' if k % 3 else 'fr'}/{k}", None) for k in range(9)] + [(40_000, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want = sorted(map(str, urlfilter.judge_urls(pages).collect()))
+    monkeypatch.setattr(urlfilter, "LINKS", 3)
+    got = sorted(map(str, urlfilter.judge_urls(pages).collect()))
+    assert got == want and len(got) == len(rows)
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    exact = sorted(str(r) for r in con.execute(urlfilter.digest_sql()).fetchall())
+    assert sorted(str(tuple(r)) for r in urlfilter.digest(pages).collect()) == exact
