@@ -42,6 +42,27 @@ def values_at(rows: DataFrame, by: list[str], value: str, positions: dict[str, C
     return hit.groupBy(*by).agg(*[F.min(F.when(F.col("w.name") == name, F.col("_v"))).alias(name) for name in positions])
 
 
+def with_previous(rows: DataFrame, by: list[str], order: list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """``rows`` with the ``value`` of the row before, in ``order`` within its group, as ``name``; null for a group's first.
+
+    Rows are dealt by ranges of group and order and written with the number of their part, so no task holds a group.
+    A part's first row takes the last row of the part before: one row a part is looked up. Null groups are a group.
+    """
+    place = [*by, *order]
+    spread = rows.repartitionByRange(parts, *place) if parts else rows.repartitionByRange(*place)
+    dealt = written(spread.withColumn("_part", F.spark_partition_id()), "ordered-parts")
+    row = F.struct(F.struct(*by).alias("of"), F.col(value).alias("had"))
+    last = dealt.groupBy("_part").agg(F.max_by(row, F.struct(*place)).alias("_end"))
+    numbers = dealt.select("_part").distinct()  # as many as there are parts
+    following = numbers.select("_part", F.lead("_part").over(Window.orderBy("_part")).alias("_next")).where(F.col("_next").isNotNull())
+    carried = last.join(following, "_part").select(F.col("_next").alias("_part"), "_end")
+    inside = Window.partitionBy("_part").orderBy(*place)
+    seen = dealt.withColumn("_inside", F.lag(row).over(inside)).join(carried, "_part", "left")
+    before = F.coalesce("_inside", "_end")
+    same = before["of"].eqNullSafe(F.struct(*by))
+    return seen.withColumn(name, F.when(same, before["had"])).drop("_part", "_inside", "_end")
+
+
 def percentile_even(rows: DataFrame, by: list[str], value: str, **qs: float) -> DataFrame:
     """by and, for each named q, the sorted value at the half-even rounded position q (n - 1), to two places."""
     found = values_at(rows, by, value, {name: lambda n, q=q: F.bround(F.lit(q) * (n - 1)) for name, q in qs.items()})

@@ -106,11 +106,8 @@ def faithfulness(spark, d) -> DataFrame:
 
 def jaccard_pairs(spark, d) -> DataFrame:
     """Similarity of neighbouring documents of a source by word sets."""
-    from pyspark.sql.window import Window
-
     rows = table(spark, d, "documents").select("doc_id", "source", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
-    before = F.lag("w").over(Window.partitionBy("source").orderBy("doc_id"))
-    return rows.withColumn("b", before).where("b is not null").select("doc_id", F.round(T.jaccard(F.col("w"), F.col("b")), 6).alias("sim"))
+    return stats.with_previous(rows, ["source"], ["doc_id"], "w", "b").where("b is not null").select("doc_id", F.round(T.jaccard(F.col("w"), F.col("b")), 6).alias("sim"))
 
 
 def rbac(spark, d) -> DataFrame:

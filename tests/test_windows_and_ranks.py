@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import state, stats
@@ -134,3 +135,16 @@ def test_confirmations_as_a_table_and_as_a_stream_over_restarts(spark, tmp_path)
         made.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(120)
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").where("token <> 'end'").collect()))
     assert got == want  # the late one changed nothing
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_previous_row_over_parts(spark, parts):
+    """A group over many parts, groups of one row and a null group: as a walk over the sorted rows."""
+    rows = [("a", k, f"a{k}") for k in range(60)] + [(g, k, f"{g}{k}") for g in "bcd" for k in (3, 1)] + [(None, k, None if k == 1 else f"n{k}") for k in range(4)] + [("z", 0, "z")]
+    made = stats.with_previous(spark.createDataFrame(rows, "g string, k int, v string").repartition(3), ["g"], ["k"], "v", "b", parts)
+    want, held = [], {}
+    for g, k, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.append((g, k, v, held.get(g)))
+        held[g] = v
+    assert sorted(map(str, (tuple(r) for r in made.select("g", "k", "v", "b").collect()))) == sorted(map(str, want))
+    assert stats.with_previous(spark.createDataFrame([], "g string, k int, v string"), ["g"], ["k"], "v", "b").count() == 0
