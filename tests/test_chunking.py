@@ -148,3 +148,9 @@ def test_judging_and_rounds(spark):
     assert [r.chunk_id for r in found.where("qid = 2").orderBy("place").collect()] == [200, 201, 202, 203, 204, 299]
     judged = {r.qid: (r.confidence, r.reason) for r in rewriting.judge(questions, search(questions)).collect()}
     assert judged[3] == (0.0, "无检索结果") and judged[1] == (0.5 * 0.8 + 0.3 + 0.2 * 0.4, "")
+
+
+def test_clauses_keep_the_digits_at_their_ends(spark):
+    text = "0 zero\nends in 111\n222 begins\n \t \n333"
+    got = chunking.clause_chunks(spark.createDataFrame([(1, text)], "doc_id int, text string"), 50, 5, head=r"\n")
+    assert [(r.i, r.content) for r in got.orderBy("i").collect()] == [(0, "0 zero"), (1, "ends in 111"), (2, "222 begins"), (3, "333")]
