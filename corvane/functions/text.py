@@ -134,8 +134,8 @@ def coerce_timestamp(value: Column) -> Column:
     return F.coalesce(read, F.when(number.isNotNull(), epoch))
 
 
-def anchor_year(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(20\d{2})", 1), F.lit("")).cast("int")
+def anchor_year(text: Column, pattern: str = r"(20\d{2})") -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int")
 
 
 def edge_order(rank: Column) -> Column:

@@ -56,3 +56,20 @@ def test_verdicts(spark):
     found = guards.verify_answers(a, s, F.to_timestamp(F.lit("2024-06-01")), metrics=("revenue", "cost", "profit", "margin"))
     assert sorted((r.id, r.kind, r.severity) for r in found.collect()) == [(2, "computed", "info"), (3, "unsupported", "fail"), (4, "computed", "info"), (5, "stale", "warn"), (6, "conflict", "fail")]
     assert {r.id: r.verdict for r in guards.verdicts(a.select("id"), found).collect()} == {1: "pass", 2: "pass", 3: "fail", 4: "pass", 5: "warn", 6: "fail"}
+
+
+def test_sources_of_one_name(spark):
+    """A claim is in its own source's group; a pair of equal names gives no claim where sources must differ; an amount is no year."""
+    fresh = "2024-05-01"
+    answers = [(1, "revenue 100元"), (2, "revenue 200元"), (3, "revenue 12034.50元, 7 units")]
+    sources = [
+        (1, "a", "revenue 100元", fresh, "g"), (1, "a", "revenue 100元", fresh, "h"), (1, "b", "revenue 130元", fresh, "h"), (1, "b", "revenue 100元", fresh, "g"),
+        (2, "a", "revenue 100元", fresh, "g"), (2, "a", "revenue 100元", fresh, "g"),
+        (3, "a", "revenue 12034.50元, 7 units", fresh, "g"), (3, "b", "revenue 12044.50元, 9 units", fresh, "h"),
+    ]
+    a, s = spark.createDataFrame(answers, "id long, text string"), spark.createDataFrame(sources, "id long, name string, text string, as_of string, grp string")
+    now = F.to_timestamp(F.lit("2024-06-01"))
+    found = guards.verify_answers(a, s, now, metrics=("revenue", "units"), apart=True)
+    got = sorted((r.id, r.kind) for r in found.collect())
+    assert got == [(1, "conflict"), (1, "intra_conflict"), (2, "unsupported"), (3, "conflict")]
+    assert (2, "computed") in {(r.id, r.kind) for r in guards.verify_answers(a, s, now, metrics=("revenue", "units")).collect()}
