@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..session import written
 
 
 def ranked(df: DataFrame, k: int | None, *order, by=("qid",), name: str = "rank") -> DataFrame:
@@ -21,7 +23,9 @@ def ranked(df: DataFrame, k: int | None, *order, by=("qid",), name: str = "rank"
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """(id, token, tf, dl): texts are dealt by id once, before they are cut, so counting and later sums per id need no second shuffle."""
-    held = chunks.select(id_col, text_col).repartition(id_col).select(id_col, T.tokens(F.col(text_col)).alias("w"))
+    texts = chunks.select(id_col, text_col)
+    size = texts.agg(F.sum(F.length(text_col))).first()[0] or 0  # so that a task's words stay few however many texts there are
+    held = texts.repartition(max(1, math.ceil(size / 8_000_000)), id_col).select(id_col, T.tokens(F.col(text_col)).alias("w"))
     rows = held.select(id_col, F.size("w").cast("long").alias("dl"), F.explode("w").alias("token"))
     return rows.groupBy(id_col, "dl", "token").agg(F.count("*").alias("tf")).select(id_col, "token", "tf", "dl")
 
@@ -61,6 +65,22 @@ def idf(n, df):
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def asked_postings(posts: DataFrame, terms: DataFrame, dfs: DataFrame | None = None, id_col: str = "chunk_id", most: int = 100_000, each: int = 2_000_000) -> DataFrame:
+    """``posts`` joined with ``terms`` (token, ...), a chunk's rows in one task and about ``each`` rows in a task.
+
+    Only postings of the terms move, once, and before they meet the questions; so sums by question and chunk need no
+    further shuffle, a frequent token is not in one task, and a task's rows do not grow with the index. Terms beyond ``most`` are
+    joined as the planner sees fit. ``dfs`` (token, df), if given, tells how many rows there will be.
+    """
+    terms = written(terms, "terms")
+    if terms.limit(most + 1).count() > most:
+        return posts.join(terms, "token")
+    terms = F.broadcast(terms)
+    rows = dfs.join(terms, "token").agg(F.sum("df")).first()[0] if dfs is not None else posts.join(terms, "token").count()
+    held = posts.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
+    return held.repartition(max(1, math.ceil((rows or 0) / each)), id_col).join(terms, "token")
+
+
 def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, dfs: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, id_col: str = "chunk_id") -> DataFrame:
     """(qid, id, raw): query tokens count once; only the postings of query tokens are read further.
 
@@ -72,7 +92,7 @@ def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, dfs: Dat
     asked = asked.join(dfs, "token").crossJoin(F.broadcast(stats))  # one row
     weighted = asked.select("qid", "token", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return posts.join(weighted, "token").groupBy("qid", id_col).agg(F.round(F.sum(F.col("idf") * tf), 6).alias("raw"))
+    return asked_postings(posts, weighted, dfs, id_col).groupBy("qid", id_col).agg(F.round(F.sum(F.col("idf") * tf), 6).alias("raw"))
 
 
 def bm25_top_k(queries: DataFrame, posts: DataFrame, stats: DataFrame, k: int, id_col: str = "chunk_id", **kw) -> DataFrame:
