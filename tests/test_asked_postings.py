@@ -30,9 +30,12 @@ def test_golden_chunks_read_no_texts(spark):
     assert sorted((r.qid, r.chunk_id, r.coverage) for r in got.collect()) == [(1, 1, 1.0), (1, 3, 0.5), (2, 1, 0.25), (3, 1, 0.0), (4, 1, 0.0)]
 
 
-def test_candidates_of_questions_are_not_shuffled(spark):
+def test_candidates_of_questions_are_not_shuffled(spark, request):
     """Pairs that share several rare grams come once, with no shuffle of the candidates by pair."""
     rows = [(i, f"anna maria berg{i % 3} berg{i}@example.net") for i in range(12)] + [(50, "other"), (51, None)]
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for many texts
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known))
     got = evalset.near_duplicate_questions(spark.createDataFrame(rows, "qid long, query string"))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a#" not in plan and "hashpartitioning(qid_a" not in plan
