@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import search
 from ..session import scratch_path, table
 from ..sources import sealed
@@ -19,8 +20,9 @@ def lexical_increments(spark, d) -> DataFrame:
     store.change(rows.where("kb <> 'src1'").select("chunk_id", F.when(older, F.reverse("content")).otherwise(F.col("content")).alias("content")))
     store.change(rows.where(older | (F.col("kb") == "src1")).select("chunk_id", "content"))
     store.change(delete=rows.where("kb = 'src0'").select("chunk_id"))
-    held = store.index()
-    return search.bm25_top_k(retrieval.questions(spark, d), held.posts, held.stats, 5, dfs=held.dfs)
+    asked = retrieval.questions(spark, d)
+    held = store.index(asked=asked.select(F.explode(T.tokens(F.col("query"))).alias("token")))
+    return search.bm25_top_k(asked, held.posts, held.stats, 5, dfs=held.dfs)
 
 
 def sealed_totals(spark, d) -> DataFrame:
