@@ -24,7 +24,8 @@ TOKEN_TYPE = "array<struct<raw:string,value:double,unit:string,start:int,end:int
 _longest = lambda words: "|".join(re.escape(w) for w in sorted(words, key=lambda w: -len(w)))
 _NUMBER = rf"\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?|[{''.join(DIGITS)}{''.join(POWERS)}]+"
 _SPACE = r"[\s\u00a0\u3000]*"
-CLAIM = rf"(百分之)?({_NUMBER}){_SPACE}({_longest(SCALES)})?{_SPACE}({_longest(UNITS)})?"
+_BLANKS = " \t\n\x0b\f\r\u00a0\u3000"  # what _SPACE matches
+CLAIM = rf"(?![\x00-/:-\x7f])(百分之)?({_NUMBER}){_SPACE}({_longest(SCALES)})?{_SPACE}({_longest(UNITS)})?"
 
 
 def _looked_up(table: dict, key: Column) -> Column:
@@ -45,33 +46,46 @@ def chinese_number(text: Column) -> Column:
     return F.when(text.rlike(f"^[{''.join(DIGITS)}{''.join(POWERS)}]+$"), found)
 
 
-def extract_claims(text: Column) -> Column:
-    """(raw, value, unit, start, end) of the numbers in a text, scales folded in, percentages as shares.
+def claim_places(text: Column) -> Column:
+    """(m, at) of the numbers in a text with what belongs to them.
 
-    Places come from the lengths of the matches and of what lies between them, so all of it stays in column functions.
+    Matches are marked and the text is cut at the marks, so it is searched once (a split at the pattern itself compiles it anew for
+    every text); a text that holds the mark is searched twice. Places are sums of the lengths before.
     """
     text = F.coalesce(text, F.lit(""))
+    mark = "\u0001"
+    marked = F.split(F.regexp_replace(text, CLAIM, f"{mark}$0{mark}"), mark, -1)  # between, match, between, ...
     matches, between = F.regexp_extract_all(text, F.lit(CLAIM), 0), F.split(text, CLAIM, -1)
+    woven = F.flatten(F.transform(F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("b")), lambda z: F.array(z["b"], z["m"])))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<m:string,at:int>>").alias("out"))
 
-    def group(m: Column, k: int) -> Column:
-        return F.regexp_extract(m, CLAIM, k)
+    def place(acc: Column, z: Column) -> Column:
+        found = F.concat(acc["out"], F.array(F.struct(z.alias("m"), acc["at"].alias("at"))))
+        return F.struct((acc["at"] + F.length(z)).alias("at"), (1 - acc["i"]).alias("i"), F.when(acc["i"] == 1, found).otherwise(acc["out"]).alias("out"))
 
-    def claim(z: Column) -> Column:
-        m, num, unit = z["m"], F.regexp_replace(group(z["m"], 2), ",", ""), group(z["m"], 4)
-        base = F.when(num.rlike("^[0-9]"), num.try_cast("double")).otherwise(chinese_number(num))
-        name = F.when(unit != "", _looked_up(UNITS, unit)).when(group(m, 1) != "", "PERCENT").otherwise("COUNT")
-        scaled = base * F.coalesce(_looked_up(SCALES, group(m, 3)), F.lit(1.0))
-        value = F.when(name == "PERCENT", scaled / 100).otherwise(scaled)
-        return F.struct(F.regexp_replace(m, r"[\s\u00a0\u3000]+$", "").alias("raw"), value.alias("value"), name.alias("unit"), z["at"].alias("start"), (z["at"] + F.length(m)).cast("int").alias("end"))
+    return F.aggregate(F.when(text.contains(mark), woven).otherwise(marked), start, place, lambda acc: acc["out"])
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,at:int>>").alias("out"))
 
-    def place(acc: Column, z: Column) -> Column:
-        at = acc["at"] + F.length(z["b"])
-        return F.struct((at + F.length(z["m"])).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(z["m"].alias("m"), at.cast("int").alias("at")))).alias("out"))
+def claim(m: Column, at: Column) -> Column:
+    """(raw, value, unit, start, end) of one match: its parts are runs of digits, then a scale and a unit, so they are taken off from the left."""
+    share = m.startswith("百分之")
+    body = F.when(share, F.substring(m, F.lit(4), F.length(m))).otherwise(m)
+    plain = F.substring(body, 1, 1).between("0", "9")
+    rest = F.when(plain, F.ltrim(body, F.lit("0123456789.,"))).otherwise(F.ltrim(body, F.lit("".join([*DIGITS, *POWERS]))))
+    num = F.substring(body, F.lit(1), F.length(body) - F.length(rest))
+    tail = F.trim(rest, F.lit(_BLANKS))
+    scale = F.when(tail == "", "").otherwise(F.regexp_extract(tail, f"^({_longest(SCALES)})", 1))
+    unit = F.ltrim(F.substring(tail, F.length(scale) + 1, F.length(tail)), F.lit(_BLANKS))
+    base = F.when(plain, F.translate(num, ",", "").try_cast("double")).otherwise(chinese_number(num))
+    name = F.when(unit != "", _looked_up(UNITS, unit)).when(share, "PERCENT").otherwise("COUNT")
+    scaled = base * F.when(scale == "", 1.0).otherwise(_looked_up(SCALES, scale))
+    value = F.when(name == "PERCENT", scaled / 100).otherwise(scaled)
+    return F.struct(F.rtrim(m, F.lit(_BLANKS)).alias("raw"), value.alias("value"), name.alias("unit"), at.alias("start"), (at + F.length(m)).cast("int").alias("end"))
 
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("b"))
-    return F.transform(F.aggregate(pairs, start, place, lambda acc: acc["out"]), claim)
+
+def extract_claims(text: Column) -> Column:
+    """(raw, value, unit, start, end) of the numbers in a text, scales folded in, percentages as shares."""
+    return F.transform(claim_places(text), lambda z: claim(z["m"], z["at"]))
 
 
 def numbers_match(a_value: Column, a_unit: Column, b_value: Column, b_unit: Column, rel: float = 0.005, absolute: float = 1e-9) -> Column:

@@ -73,3 +73,19 @@ def test_sources_of_one_name(spark):
     got = sorted((r.id, r.kind) for r in found.collect())
     assert got == [(1, "conflict"), (1, "intra_conflict"), (2, "unsupported"), (3, "conflict")]
     assert (2, "computed") in {(r.id, r.kind) for r in guards.verify_answers(a, s, now, metrics=("revenue", "units")).collect()}
+
+
+def test_checks_pair_claims_once(spark):
+    """Each check joins the claims once, sources are fingerprinted only where they have no metric, and texts may hold the mark."""
+    fresh = "2024-05-01"
+    answers = [(1, "revenue 130元"), (2, "x 7元")]
+    sources = [(1, "a", "revenue 100元", fresh, "g"), (1, "b", "revenue 30元", fresh, "g"), (2, "a", "total of 5元", fresh, "g"), (2, "b", "total of 9元", fresh, "h")]
+    a, s = spark.createDataFrame(answers, "id long, text string"), spark.createDataFrame(sources, "id long, name string, text string, as_of string, grp string")
+    found = guards.verify_answers(a, s, F.to_timestamp(F.lit("2024-06-01")), metrics=("revenue",), apart=True)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert sorted((r.id, r.kind) for r in found.collect()) == [(1, "computed"), (1, "intra_conflict"), (2, "conflict"), (2, "unsupported")]
+    held = guards.anchored(guards.claim_rows(s, ["id", "name", "text"]), ("revenue",))
+    assert {(r.metric, r.grams is None) for r in held.collect()} == {("revenue", True), (None, False)}
+    texts = ["a\x01 12元", "\x015\x01\x01百分之三 4", "\x01"]
+    got = {r.t: [tuple(c) for c in r.c] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.extract_claims(F.col("t")).alias("c")).collect()}
+    assert got == {t: claims_by_hand(t) for t in texts}
