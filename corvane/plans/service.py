@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import quality, routing, service, state
 from ..operators.search import ranked
-from ..session import table
+from ..session import table, written
 from . import corpus, retrieval
 from ._sql import BM25, QRELS, VECTOR, words
 
@@ -56,13 +56,16 @@ def progress(spark, d) -> DataFrame:
 
 
 def fan_out(spark, d) -> DataFrame:
-    """Global list, one knowledge base only, and the interleaved lists of all of them."""
-    kb = retrieval.chunks(spark, d).select("chunk_id", "kb")
-    every = retrieval.bm25(spark, d).select(F.lit("global").alias("arm"), "qid", "chunk_id", "rank")
-    hits = retrieval.bm25(spark, d).join(kb, "chunk_id")
+    """Global list, one knowledge base only, and the interleaved lists of all of them.
+
+    Chunks are scored once: each knowledge base's first 20 are kept, which hold the first 20 of all.
+    """
+    each = written(retrieval.by_kb(spark, d, 20), "arms")
+    hits = ranked(each.where("score > 0").drop("rank"), 20, F.desc("score"), "chunk_id")
+    every = hits.select(F.lit("global").alias("arm"), "qid", "chunk_id", "rank")
     best = hits.where("rank = 1").select("qid", F.col("kb").alias("own"))
     alone = ranked(hits.join(best, "qid").where("kb = own").withColumnRenamed("rank", "leg_rank"), None, "leg_rank").select(F.lit("one").alias("arm"), "qid", "chunk_id", "rank")
-    mixed = retrieval.interleaved(spark, d).select(F.lit("each").alias("arm"), "qid", "chunk_id", F.col("place").alias("rank"))
+    mixed = retrieval.interleaved(spark, d, each).select(F.lit("each").alias("arm"), "qid", "chunk_id", F.col("place").alias("rank"))
     return quality.compare_arms(every.unionByName(alone).unionByName(mixed), retrieval.qrels(spark, d))
 
 

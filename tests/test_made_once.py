@@ -57,3 +57,20 @@ def test_texts_are_cut_once(spark):
     plan = held._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") + plan.count("split(") == 1, plan
     assert sorted(map(tuple, held.collect())) == [(1, "a", 2, 3), (1, "b", 1, 3)]
+
+
+def test_fan_out_scores_once(spark, sf, monkeypatch):
+    """The three arms come from one scoring, and are those of the lists by themselves."""
+    from corvane.operators import search
+    from corvane.plans import retrieval, service
+
+    calls = []
+    real = search.bm25_scores
+    monkeypatch.setattr(search, "bm25_scores", lambda *a, **kw: calls.append(1) or real(*a, **kw))
+    arms = []
+    monkeypatch.setattr(service.quality, "compare_arms", lambda rows, _: arms.append(rows) or rows)
+    service.fan_out(spark, sf)
+    assert len(calls) == 1
+    got = {(r.arm, r.qid, r.chunk_id, r["rank"]) for r in arms[0].collect()}
+    assert {g[1:] for g in got if g[0] == "global"} == {tuple(r) for r in retrieval.bm25(spark, sf).select("qid", "chunk_id", "rank").collect()}
+    assert {g[1:] for g in got if g[0] == "each"} == {tuple(r) for r in retrieval.interleaved(spark, sf).select("qid", "chunk_id", "place").collect()}
