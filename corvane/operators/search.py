@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..session import written
+from ..session import dealt, written
 
 
 def ranked(df: DataFrame, k: int | None, *order, by=("qid",), name: str = "rank") -> DataFrame:
@@ -76,18 +76,34 @@ def asked_postings(posts: DataFrame, terms: DataFrame, dfs: DataFrame | None = N
     """``posts`` joined with ``terms`` (token, ...), a chunk's rows in one task and about ``each`` rows in a task.
 
     Only postings of the terms move, once, and before they meet the questions; so sums by question and chunk need no
-    further shuffle, a frequent token is not in one task, and a task's rows do not grow with the index. Terms beyond ``most`` are
-    joined as the planner sees fit. ``dfs`` (token, df), if given, tells how many rows there will be.
+    further shuffle, a frequent token is not in one task, and a task's rows do not grow with the index. More than ``most`` terms
+    meet the postings by token before they are dealt by chunk. ``dfs`` (token, df), if given, tells how many rows there will be.
     """
     terms = written(terms, "terms")
     if terms.limit(most + 1).count() > most:
-        return posts.join(terms, "token")
+        return _by_token(posts, terms, document_frequencies(posts) if dfs is None else dfs, id_col, each)
     terms = F.broadcast(terms)
     rows = dfs.join(terms, "token").agg(F.sum("df")).first()[0] if dfs is not None else posts.join(terms, "token").count()
     held = posts.join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
     return held.repartition(max(1, math.ceil((rows or 0) / each)), id_col).join(terms, "token")
 
 
+def _by_token(posts: DataFrame, terms: DataFrame, dfs: DataFrame, id_col: str, each: int) -> DataFrame:
+    """``posts`` joined with more terms than are broadcast: both are dealt by token, what they make by chunk, in tasks of about ``each`` rows.
+
+    A token with over a twentieth of ``each`` and over a thousandth of all postings, so fewer than a thousand, is parted by its chunks.
+    """
+    total = dfs.agg(F.sum("df")).first()[0] or 0
+    rows = dfs.join(terms, "token").agg(F.sum("df")).first()[0]
+    part = max(each // 20, 1)
+    often = F.broadcast(dfs.where(F.col("df") > max(part, total // 1000)).select("token", F.ceil(F.col("df") / part).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    held = posts.join(often, "token", "left").withColumn("_part", F.pmod(F.xxhash64(id_col), parts)).drop("_parts")
+    asked = terms.join(often, "token", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    met = dealt(held, total, "token", "_part", each=each).join(dealt(asked, total, "token", "_part", each=each), ["token", "_part"]).drop("_part")
+    return dealt(met, rows, id_col, each=each)
+
+
 def bm25_scores(queries: DataFrame, posts: DataFrame, stats: DataFrame, dfs: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, id_col: str = "chunk_id") -> DataFrame:
     """(qid, id, raw): query tokens count once; only the postings of query tokens are read further.
 

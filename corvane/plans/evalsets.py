@@ -18,16 +18,21 @@ def marked(spark, d) -> DataFrame:
     return written(made, "entities", version(rows))
 
 
+def shared(spark, d) -> DataFrame:
+    """Entities of 2 to 40 documents, found once for an application."""
+    return written(evalset.shared_entities(marked(spark, d)), "shared-entities", version(table(spark, d, "documents")))
+
+
 def entity_pool(spark, d, k: int = 15) -> DataFrame:
     """The first hits of every shared entity as a question."""
-    asked = evalset.shared_entities(marked(spark, d)).select("entity").distinct()
+    asked = shared(spark, d).select("entity").distinct()
     held = retrieval.index(spark, d)
     hits = search.bm25_top_k(asked.select(F.col("entity").alias("qid"), F.col("entity").alias("query")), held.posts, held.stats, k, dfs=held.dfs)
     return hits.select(F.col("qid").alias("entity"), "chunk_id")
 
 
 def competitors(spark, d) -> DataFrame:
-    return evalset.competitor_pairs(marked(spark, d), entity_pool(spark, d))
+    return evalset.competitor_pairs(marked(spark, d), entity_pool(spark, d), index=shared(spark, d))
 
 
 def golden(spark, d) -> DataFrame:

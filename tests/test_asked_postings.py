@@ -41,3 +41,17 @@ def test_candidates_of_questions_are_not_shuffled(spark, request):
     assert "hashpartitioning(a#" not in plan and "hashpartitioning(qid_a" not in plan
     found = [(r.a, r.b) for r in got.collect()]
     assert len(found) == len(set(found)) > 0
+
+
+def test_rows_of_a_task_with_many_terms(spark):
+    """More terms than are broadcast: tasks are as small, a word of every chunk is parted, and sums need no shuffle by question."""
+    chunks = spark.range(400).select(F.col("id").alias("chunk_id"), F.concat(F.lit("the w"), F.col("id") % 7, F.lit(" rare"), F.col("id")).alias("content"))
+    held = search.index(chunks)
+    terms = spark.createDataFrame([(q, t) for q in range(5) for t in ("the", f"w{q}", "none")] + [(9, "the")], "qid long, token string")
+    want = sorted(map(repr, held.posts.join(terms, "token").select("qid", "chunk_id", "token", "tf", "dl").collect()))
+    for dfs in (held.dfs, None):
+        got = search.asked_postings(held.posts, terms, dfs, most=3, each=100)
+        assert sorted(map(repr, got.select("qid", "chunk_id", "token", "tf", "dl").collect())) == want
+        at = got.select("chunk_id", F.spark_partition_id().alias("p"))
+        assert at.groupBy("p").count().agg(F.max("count")).first()[0] < 300 and at.distinct().groupBy("chunk_id").count().where("count > 1").count() == 0
+        assert "hashpartitioning(qid" not in got.groupBy("qid", "chunk_id").count()._jdf.queryExecution().toString()
